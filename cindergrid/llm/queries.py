@@ -89,11 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 WITH v AS (
-  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.id <> c.id AND len(q.e) = len(c.e) WHERE q.id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
@@ -118,11 +118,11 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS at
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
-  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY at) AS turns,
-    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY at) AS chat
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS turns,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
   FROM t GROUP BY conv_id),
 u AS (SELECT turns, n_turns, any_value(chat) AS chat, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY turns, n_turns),
 p AS (SELECT DISTINCT list_slice(turns, 1, k) AS turns FROM c, LATERAL (SELECT unnest(range(1, n_turns)) AS k))
