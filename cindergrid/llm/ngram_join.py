@@ -6,10 +6,12 @@ its partner by an equi-join on the subset's hash. Larger sets scan inverted list
 size - ceil(threshold * size) + 1 in order of (bucketed document count, hash) must share one with any partner.
 The boundary is where the subsets' cost first exceeds the lists' cost, by totals over all documents.
 
-A list is never turned into all its pairs. Sorted by size, its neighbours of compatible size are chained (an n-gram of a
-hot bucket is a node of its own instead, so its list is never sorted in one place); the chains' components hold every
-possible link. Each component is cut into blocks of at most BLOCK_SETS sets by size class and hash; pairs of blocks that
-may hold links meet in one task, which counts all overlaps exactly and returns a spanning forest of its links.
+A list of up to SHORT_LIST sets gives its pairs of compatible size, of which those go that provably differ too much: each set
+has a bitmap in which every n-gram flips one bit, and two bitmaps never differ in more bits than the sets in n-grams. A longer
+list is never turned into pairs: sorted by size, its neighbours of compatible size are chained (an n-gram of a hot bucket is
+a node of its own instead, so its list is never sorted in one place). The components of all this hold every possible link. Each component is cut into blocks by size class and hash; pairs of blocks that
+may hold links meet in one task, which counts all overlaps exactly and returns a spanning forest of its links. A component of one
+block is shipped once; one of r blocks r times, so only components larger than a partition's share cost more than their size.
 
 Null and empty texts have no set and are linked with nothing; a null doc_id stays in the result with a null
 component and cannot be a smallest id. Repeated rows are one class. Extra columns are ignored.
@@ -26,7 +28,9 @@ from cindergrid.llm import bytewords as bw
 from cindergrid.llm.common import connected_components, written
 
 BUCKETS, SLICES = 1 << 20, 64
-BLOCK_SETS, BLOCK_GRAMS = 48, 200_000
+BLOCK_SETS, BLOCK_GRAMS, LEAST_GRAMS = 512, 1_000_000, 4096
+BROADCAST_IDS = 200_000
+SHORT_LIST = 32
 NODE = "node long"
 
 
@@ -114,6 +118,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
                     out.append((np.full(len(own), 3), total[own], size[own], cid[own]))
                 if len(sub := np.flatnonzero((size[owner] <= boundary) & (100 * (size[owner] - 1) >= percent * size[owner]))):
                     out.append((np.full(len(sub), 2), total[owner[sub]] - bw.mix(gram[sub]), size[owner[sub]] - 1, cid[owner[sub]]))
+                gram_all = gram
                 keep = size[owner] >= boundary
                 gram, owner = gram[keep], owner[keep]
                 if len(gram):
@@ -125,17 +130,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
                     first = place < size[owner] + (-percent * size[owner]) // 100 + 1
                     gram, owner, often = gram[first], owner[first], often[first]
                     out.append(((often >= hot_at).astype(np.int64), gram, size[owner], cid[owner]))
+                    yield from bitmaps(gram_all, at, cid, np.flatnonzero(np.diff(at) >= boundary))
                 if out:
                     kind, gram, size, cid = (np.concatenate(x) for x in zip(*out))
-                    yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(gram.view(np.int64)), pa.array(size, pa.int64()), pa.array(cid, pa.int64())], names=["kind", "gram", "size", "cid"])
+                    yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(gram.view(np.int64)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(len(kind), pa.binary())], names=NAMES)
 
-    rows = texts.where("doc_id is not null").mapInArrow(signatures, "kind int, gram long, size long, cid long")
-    rows = written(rows.repartition("kind", "gram", F.when(F.col("kind") == 1, F.pmod("cid", F.lit(64)))).sortWithinPartitions("kind", "gram", "size", "cid").mapInArrow(chains(percent), "kind int, u long, v long"))
+    rows = texts.where("doc_id is not null").mapInArrow(signatures, "kind int, gram long, size long, cid long, bitmap binary")
+    rows = written(rows.repartition("kind", "gram", F.when(F.col("kind") == 1, F.pmod("cid", F.lit(64)))).sortWithinPartitions("kind", "gram", "size", "cid").mapInArrow(chains(percent), "kind int, u long, v long, bitmap binary"))
     # a set and what it lacks one n-gram of: each set hash has one owner, so this is as long as the subsets
     whole = rows.where("kind = 3").select(F.col("u"), F.col("v").alias("key")).distinct()
     small = rows.where("kind = 2").select(F.col("u").alias("v"), F.col("v").alias("key")).distinct().join(whole, "key").select("u", "v")
-    maybe = rows.where("kind < 2").select("u", "v").distinct()
-    label = connected_components(maybe)
+    bits = rows.where("kind = 4").select("u", F.col("v").alias("size"), "bitmap").dropDuplicates(["u"])
+    pairs = rows.where("kind = 5").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = pairs.join(bits.withColumnsRenamed({"size": "size_u", "bitmap": "bitmap_u"}), "u").join(bits.withColumnsRenamed({"u": "v", "size": "size_v", "bitmap": "bitmap_v"}), "v")
+    near = pairs.select("u", "v", "size_u", "size_v", "bitmap_u", "bitmap_v").mapInArrow(close(percent), "u long, v long")
+    label = connected_components(rows.where("kind < 2").select("u", "v").distinct().union(near))
 
     links = small.union(block_links(texts, groups, label, n, percent))
     reach = connected_components(links)
@@ -146,27 +155,104 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+NAMES = ["kind", "gram", "size", "cid", "bitmap"]
+
+
+def bitmaps(gram: np.ndarray, at: np.ndarray, cid: np.ndarray, rows: np.ndarray):
+    """Rows of kind 4: for each set a bitmap of twice its size or more, rounded up to a power of two, each n-gram flipping a bit."""
+    out = []
+    for r in rows.tolist():
+        own = gram[at[r] : at[r + 1]]
+        width = max(64, 1 << (2 * len(own) - 1).bit_length())
+        flips = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(flips.astype(np.uint8)).tobytes())
+    if out:
+        m = len(rows)
+        yield pa.record_batch([pa.array(np.full(m, 4), pa.int32()), pa.array(cid[rows], pa.int64()), pa.array(np.diff(at)[rows], pa.int64()), pa.array(cid[rows], pa.int64()), pa.array(out, pa.binary())], names=NAMES)
+
+
+def close(percent: int):
+    """Keeps the pairs that may be linked: whose bitmaps differ in no more bits than linked sets of these sizes differ in n-grams."""
+
+    def run(batches):
+        for batch in batches:
+            u, v, a, b = (batch.column(i).to_numpy() for i in range(4))
+            most = (100 - percent) * (a + b) // (100 + percent)
+            keep = np.zeros(len(u), bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                while len(x) > len(y):  # halves of a bitmap folded together are the bitmap of half the width
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep[i] = np.bitwise_count(x ^ y).sum() <= most[i]
+            yield pa.record_batch([pa.array(u[keep]), pa.array(v[keep])], names=["u", "v"])
+
+    return run
+
+
 def chains(percent: int):
-    """Sorted entries to edges: neighbours in a list of compatible sizes (kind 0), a hot n-gram as a node (1), set and subset (3)."""
+    """Sorted entries to edges, list by list.
+
+    Kind 5: pairs of compatible sizes in short lists; 0: such neighbours in longer ones; 1: a set and its hot n-gram. Kinds 2 to 4 pass.
+    A list that a batch cuts is held back until it ends, or is long: then its last entry is enough.
+    """
 
     def run(batches):
-        last = None
+        held = None
         for batch in batches:
             kind, gram, size, cid = (batch.column(i).to_numpy() for i in range(4))
-            if not len(kind):
-                continue
-            if last is not None:
-                kind, gram, size, cid = (np.r_[a, b] for a, b in zip(last, (kind, gram, size, cid)))
-            last = tuple(x[-1:] for x in (kind, gram, size, cid))
-            same = (kind[1:] == kind[:-1]) & (gram[1:] == gram[:-1]) & (cid[1:] != cid[:-1])
-            near = same & (kind[1:] == 0) & (100 * size[:-1] >= percent * size[1:])
-            hot = kind == 1
-            hot[1:] &= ~((gram[1:] == gram[:-1]) & (cid[1:] == cid[:-1]) & (kind[1:] == kind[:-1]))
             rest = kind >= 2
-            u = np.concatenate([cid[:-1][near], cid[hot], cid[rest]])
-            v = np.concatenate([cid[1:][near], gram[hot], gram[rest]])
-            k = np.concatenate([np.zeros(near.sum()), np.ones(hot.sum()), kind[rest]])
-            yield pa.record_batch([pa.array(k, pa.int32()), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
+            if rest.any():
+                own = batch.filter(pa.array(rest))
+                value = np.where(kind[rest] == 4, size[rest], gram[rest])
+                yield pa.record_batch([own.column(0), own.column(3), pa.array(value), own.column(4)], names=["kind", "u", "v", "bitmap"])
+            part = [x[~rest] for x in (kind, gram, size, cid)]
+            if held is not None:
+                part = [np.r_[a, b] for a, b in zip(held, part)]
+            if not len(part[0]):
+                continue
+            kind, gram = part[:2]
+            start = int(np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])])[-1])
+            if len(kind) - start > 4 * SHORT_LIST + 200_000:  # a long list goes on: its part here is chained, from the end on later
+                yield from edges(part, start)
+                held = [x[-1:] for x in part]
+                long_list.add((int(kind[-1]), int(gram[-1])))
+            else:
+                yield from edges([x[:start] for x in part], None)
+                held = [x[start:] for x in part]
+        if held is not None and len(held[0]):
+            yield from edges(held, None)
+
+    long_list: set = set()
+
+    def edges(part, forced):
+        kind, gram, size, cid = part
+        if not len(kind):
+            return
+        fresh = np.r_[True, (kind[1:] != kind[:-1]) | (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
+        kind, gram, size, cid = (x[fresh] for x in (kind, gram, size, cid))
+        first = np.r_[True, (kind[1:] != kind[:-1]) | (gram[1:] != gram[:-1])]
+        run_of = np.cumsum(first) - 1
+        length = np.bincount(run_of)[run_of]
+        if forced is not None:
+            length[run_of == run_of[-1]] = SHORT_LIST + 1
+        if (int(kind[0]), int(gram[0])) in long_list:
+            length[run_of == 0] = SHORT_LIST + 1
+        out = [(np.full((kind == 1).sum(), 1), cid[kind == 1], gram[kind == 1])]
+        listed = np.flatnonzero((kind == 0) & (length > 1))
+        short = length[listed] <= SHORT_LIST
+        for step in range(1, SHORT_LIST):
+            a, b = listed[:-step], listed[step:]
+            good = (run_of[a] == run_of[b]) & (100 * size[a] >= percent * size[b])
+            good &= short[step:] if step > 1 else True
+            if not good.any():
+                if step > 1:
+                    break
+                continue
+            out.append((np.where(short[step:][good], 5, 0), cid[a[good]], cid[b[good]]))
+        k, u, v = (np.concatenate(x) for x in zip(*out))
+        yield pa.record_batch([pa.array(k, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(k), pa.binary())], names=["kind", "u", "v", "bitmap"])
 
     return run
 
@@ -175,22 +261,35 @@ def block_links(texts: DataFrame, groups: DataFrame, label: DataFrame, n: int, p
     """Links (u, v) between classes that suffice to connect all linked ones, from exact overlaps within each component."""
     ratio = percent / 100 * 0.999  # so that sizes at the threshold are never two classes apart
     own = label.join(groups.withColumnsRenamed({"cid": "node"}), "node").select("node", "label", "size", "rep", F.floor(F.log(F.col("size").cast("double")) / -F.log(F.lit(ratio))).cast("int").alias("class"))
-    per = own.groupBy("label", "class").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    own = written(own)
+    # a block holds a partition's fair share of all n-grams at most, so that one large component is dealt to many tasks
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    grams = min(BLOCK_GRAMS, max(LEAST_GRAMS, total // int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # a component that fits into one block is one
+    whole = own.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("size") <= grams)).alias("whole"))
+    own = own.join(whole, "label").withColumn("class", F.when(F.col("whole"), 0).otherwise(F.col("class"))).drop("whole")
+    per = own.groupBy("label", "class").agg(F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / grams))).cast("int").alias("blocks"))
     near = per.select("label", F.explode(F.array(F.col("class"), F.col("class") - 1, F.col("class") + 1)).alias("class"), (F.col("class")).alias("of"), "blocks")
     around = near.groupBy("label", "class").agg(*(F.max(F.when(F.col("of") == F.col("class") + d, F.col("blocks"))).alias(a) for d, a in ((0, "same"), (-1, "below"), (1, "above"))))
     own = own.join(around.where("same is not null"), ["label", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("same")).cast("int"))
     need = written(own.select("node", "label", "size", "rep", "class", "block", "same", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above")))
 
+    placed = [c for c in need.columns if c != "rep"]
+    # the one text of each class that takes part; their ids are broadcast where they are few, else both sides are shuffled
+    ids = need.withColumnRenamed("rep", "doc_id")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+    texts = texts.withColumn("same_text", F.xxhash64("text")).dropDuplicates(["node", "same_text"]).select(*placed, "text")
+
     def sets(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, gram, at, total in set_slices(batch.column(1), n):
-                size = np.diff(at)
-                yield pa.record_batch([ids.slice(lo, hi - lo), pa.array(set_id(total, size)), pa.array([gram[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "node", "grams"])
-
-    # only the one text of each class that takes part: the ids meet the texts by an equi-join
-    texts = texts.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    with_sets = texts.mapInArrow(sets, "doc_id long, node long, grams binary").drop("doc_id").dropDuplicates(["node"]).join(need, "node")
+            node = batch.column(0).to_numpy()
+            for lo, hi, gram, at, total in set_slices(batch.column(len(placed)), n):
+                own = np.flatnonzero(set_id(total, np.diff(at)) == node[lo:hi])
+                part = batch.slice(lo, hi - lo).take(pa.array(own))
+                blobs = pa.array([gram[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())
+                yield pa.record_batch([*(part.column(c) for c in placed), blobs], names=[*placed, "grams"])
+
+    with_sets = texts.mapInArrow(sets, ", ".join(f"{c} {dict(need.dtypes)[c]}" for c in placed) + ", grams binary")
     pair = lambda c1, b1, c2, b2, right: F.struct(c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"), F.lit(right).alias("right"))
     c, b = F.col("class"), F.col("block")
     upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), f)).otherwise(F.array().cast("array<struct<c1:int,b1:int,c2:int,b2:int,right:boolean>>"))
