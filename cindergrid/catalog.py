@@ -1,4 +1,125 @@
 """Registered queries and the SQL that their results are held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cindergrid.operators import edges, evaluate, graph, grid, panel, tensor
+from cindergrid.plans import spread as s
+
+
+def rounded(df, digits: int = 6):
+    """Floating columns rounded, so that sums in another order agree; -0.0 becomes 0.0."""
+    return df.select(*((F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def bin_text(df):
+    """Bins as text, which both engines spell alike."""
+    return df.withColumn("datetime_bin", F.date_format("datetime_bin", "yyyy-MM-dd HH:mm:ss")) if "datetime_bin" in df.columns else df
+
+
+STATION = lambda sp, d: panel.distinct_stations(s.weather_points(sp, d))
+
+
+def station_map(sp, d):
+    cells = s.centroids(s.hourly_panel(sp, d))
+    part = lambda c, low: ((F.col(c) - low - 500) / 1000)
+    cells = cells.select("cell_id", (-120 + 0.01 * part("x", s.X0)).alias("lon"), (36 + 0.01 * part("y", s.Y0)).alias("lat"))
+    return panel.nearest_station(cells, STATION(sp, d))
+
+
+def imputed(sp, d):
+    from cindergrid.operators.knn import knn_impute
+
+    static = panel.aggregate_static(s.topo_points(sp, d), ["elevation", "slope"], ["landcover"])
+    return rounded(knn_impute(static, s.centroids(static), 5, ["elevation_mean"], ["landcover_mode"]).select("cell_id", "elevation_mean", "landcover_mode", "slope_mean"))
+
+
+def example_features(sp, d):
+    p = s.hourly_panel(sp, d)
+    e = edges.edge_geometry(s.labelled(p), s.centroids(p))
+    return rounded(e.select("time_epoch", "source", "target", "dist_m", "label", "frp_src", "frp_src_trend", "burning_neighbor_count", "mean_frp_neighbors", "vec_angle_deg", "wind_align"))
+
+
+P = s.hourly_panel
+QUERIES = {
+    "assigned_points": lambda sp, d: s.points(sp, d).select("event_id", "cell_id"),
+    "static_features": lambda sp, d: rounded(panel.aggregate_static(s.topo_points(sp, d), ["elevation", "slope"], ["landcover"], {"landcover": ["AUTOMOBILE", "BUILDING"]})),
+    "weather_cell_time": lambda sp, d: bin_text(rounded(panel.aggregate_weather(s.weather_points(sp, d, 360)))),
+    "fire_cell_time": lambda sp, d: bin_text(rounded(panel.aggregate_fire(s.fire_points(sp, d)))),
+    "panel_sparse": lambda sp, d: bin_text(rounded(P(sp, d).select("cell_id", "datetime_bin", "epoch_hr", "t2m_mean", "t2m_max", "_obs_count_sum", "frp_sum", "fire_count", "fire_any"))),
+    "panel_dense": lambda sp, d: bin_text(rounded(panel.densify_panel(P(sp, d).select("cell_id", "datetime_bin", "t2m_mean", "frp_sum"), 60))),
+    "grid_coverage": lambda sp, d: grid.grid_coverage(s.centroids(s.topo_points(sp, d)), P(sp, d)).select("cell_id", "n", "in_panel"),
+    "stage_summary": lambda sp, d: bin_text(grid.stage_summary("panel", P(sp, d), "datetime_bin").select("stage", "n_rows", "cells")),
+    "stations": lambda sp, d: rounded(STATION(sp, d)),
+    "nearest_station": lambda sp, d: rounded(station_map(sp, d), 3),
+    "station_weather": lambda sp, d: bin_text(rounded(panel.station_fanout(panel.aggregate_station_weather(s.weather_points(sp, d), STATION(sp, d)), station_map(sp, d)))),
+    "missing_cells": lambda sp, d: panel.missing_cells(P(sp, d), s.topo_points(sp, d).select("cell_id").distinct()),
+    "knn_pairs": lambda sp, d: rounded(s.pairs(P(sp, d))),
+    "knn_impute": imputed,
+    "frp_trend": lambda sp, d: rounded(edges.frp_trend(P(sp, d), s.LAGS).select("cell_id", "epoch_hr", "frp_src_trend")),
+    "spread_labels": lambda sp, d: rounded(s.labelled(P(sp, d)).select("time_epoch", "source", "target", "dist_m", "label")),
+    "example_features": example_features,
+    "label_counts": lambda sp, d: evaluate.label_counts(s.labelled(P(sp, d))),
+    "class_weight": lambda sp, d: rounded(evaluate.class_weight(s.labelled(P(sp, d)))),
+    "balanced_examples": lambda sp, d: edges.balance_examples(s.labelled(P(sp, d)), 1.0).groupBy("label").agg(F.count("*").alias("n")),
+    "time_split": lambda sp, d: evaluate.time_split(s.labelled(P(sp, d))).groupBy("split").agg(F.count("*").alias("n")),
+    "average_precision": lambda sp, d: rounded(s.evaluation(P(sp, d))),
+    "pr_curve": lambda sp, d: rounded(evaluate.pr_curve(s.scored(P(sp, d)))),
+    "confusion_matrix": lambda sp, d: evaluate.confusion_matrix(s.scored(P(sp, d))),
+    "classification_report": lambda sp, d: rounded(evaluate.classification_report(s.scored(P(sp, d)))),
+    "calibration_curve": lambda sp, d: rounded(evaluate.calibration_curve(s.scored(P(sp, d)))),
+    "max_target_prob": lambda sp, d: rounded(evaluate.max_target_prob(s.scored(P(sp, d)))),
+    "map_predictions": lambda sp, d: rounded(evaluate.map_predictions(s.centroids(P(sp, d)), s.scored(P(sp, d)))),
+    "choose_time": lambda sp, d: evaluate.choose_time(edges.filter_burning(P(sp, d))),
+    "mean_wind": lambda sp, d: rounded(graph.mean_wind(P(sp, d)), 3),
+    "adjacency_rw": lambda sp, d: rounded(s.spread_graph(P(sp, d), "rw")),
+    "adjacency_sym": lambda sp, d: rounded(s.spread_graph(P(sp, d), "sym")),
+    "tensor": lambda sp, d: rounded(s.spread_tensor(P(sp, d)), 4),
+    "tensor_stats": lambda sp, d: rounded(tensor.tensor_stats(s.spread_tensor(P(sp, d)), ["frp_sum", "t2m_mean"]).select("x_nulls", "positives", "nodes", "times")),
+}
+
+POINTS = """
+WITH pt AS (
+  SELECT event_id, user_id, event_type, ts, CAST(value AS DOUBLE) AS value,
+    CASE WHEN event_id % 97 <> 0 THEN 'cell_' || (user_id % 40) || '_' || (user_id // 40) END AS cell_id FROM events),
+w AS (SELECT *, date_trunc('hour', ts) AS b, (7 * event_id) % 21 - 10 AS u10, (13 * event_id) % 17 - 8 AS v10 FROM pt WHERE event_type <> 'error'),
+f AS (SELECT *, date_trunc('hour', ts) AS b FROM pt WHERE event_type = 'error')"""
+PANEL = POINTS + """,
+wa AS (SELECT cell_id, b, avg(value) AS t2m_mean, max(value) AS t2m_max, avg(u10) AS u10_mean, avg(v10) AS v10_mean, count(*) AS n FROM w WHERE cell_id IS NOT NULL GROUP BY ALL),
+fa AS (SELECT cell_id, b, sum(value) AS frp_sum, count(*) AS c FROM f WHERE cell_id IS NOT NULL GROUP BY ALL),
+pa AS (
+  SELECT coalesce(wa.cell_id, fa.cell_id) AS cell_id, coalesce(wa.b, fa.b) AS b, CAST(epoch(coalesce(wa.b, fa.b)) AS BIGINT) // 3600 AS h,
+    coalesce(t2m_mean, 0) AS t2m_mean, coalesce(t2m_max, 0) AS t2m_max, coalesce(u10_mean, 0) AS u10_mean, coalesce(v10_mean, 0) AS v10_mean,
+    coalesce(n, 0) AS n, coalesce(frp_sum, 0) AS frp_sum, coalesce(c, 0) AS c, c IS NOT NULL AS fire FROM wa FULL JOIN fa ON wa.cell_id = fa.cell_id AND wa.b = fa.b)"""
+EDGES = PANEL + """,
+ce AS (SELECT DISTINCT cell_id, CAST(split_part(cell_id, '_', 2) AS INT) AS i, CAST(split_part(cell_id, '_', 3) AS INT) AS j FROM pa),
+kn AS (
+  SELECT source, target, d, si, sj, ti, tj FROM (
+    SELECT a.cell_id AS source, c.cell_id AS target, a.i AS si, a.j AS sj, c.i AS ti, c.j AS tj, 1000 * sqrt((a.i - c.i) ** 2 + (a.j - c.j) ** 2) AS d,
+      row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.i - c.i) ** 2 + (a.j - c.j) ** 2, c.cell_id) AS r
+    FROM ce a JOIN ce c ON a.cell_id <> c.cell_id) WHERE r <= 8),
+ca AS (
+  SELECT p.h, source, target, d, si, sj, ti, tj, p.frp_sum AS frp_src, q.frp_sum AS frp_tgt, coalesce(q.fire, false) AS tb
+  FROM pa p JOIN kn ON p.cell_id = source LEFT JOIN pa q ON q.cell_id = target AND q.h = p.h WHERE p.fire),
+la AS (SELECT ca.*, CASE WHEN EXISTS (SELECT 1 FROM pa z WHERE z.fire AND z.cell_id = target AND z.h > ca.h AND z.h <= ca.h + 24) THEN 1 ELSE 0 END AS label FROM ca WHERE NOT tb),
+sc AS (SELECT *, (((h * 31 + 7 * (ti - si) + 13 * (tj - sj)) % 1000 + 1000) % 1000) / 1000.0 AS p FROM la)"""
+ORACLE = {
+    "assigned_points": POINTS + " SELECT event_id, cell_id FROM pt",
+    "fire_cell_time": POINTS + " SELECT cell_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS datetime_bin, round(sum(value), 6) AS frp_sum, round(max(value), 6) AS frp_max, round(avg(300 + value / 10), 6) AS brightness_mean, round(max(300 + value / 10), 6) AS brightness_max, CAST(count(*) AS INTEGER) AS fire_count, true AS fire_any FROM f WHERE cell_id IS NOT NULL GROUP BY cell_id, b",
+    "panel_sparse": PANEL + " SELECT cell_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS datetime_bin, h AS epoch_hr, round(t2m_mean, 6) AS t2m_mean, round(t2m_max, 6) AS t2m_max, n AS _obs_count_sum, round(frp_sum, 6) AS frp_sum, CAST(c AS INTEGER) AS fire_count, fire AS fire_any FROM pa",
+    "stage_summary": PANEL + " SELECT 'panel' AS stage, count(*) AS n_rows, count(DISTINCT cell_id) AS cells FROM pa",
+    "stations": "SELECT CAST(row_number() OVER (ORDER BY lat, lon) - 1 AS INTEGER) AS station_idx, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT DISTINCT 36 + 0.03::DOUBLE * (user_id % 10) AS lat, -120 + 0.04::DOUBLE * ((3 * (user_id % 10)) % 10) AS lon FROM events WHERE event_type <> 'error')",
+    "knn_pairs": EDGES + " SELECT source, target, round(d, 6) AS dist_m FROM kn",
+    "frp_trend": PANEL + " SELECT cell_id, h AS epoch_hr, round(CASE WHEN k IS NULL OR isnan(k) THEN 0 ELSE k END, 6) + 0.0 AS frp_src_trend FROM (SELECT cell_id, h, regr_slope(frp_sum, h) OVER (PARTITION BY cell_id ORDER BY h RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING) AS k FROM pa)",
+    "spread_labels": EDGES + " SELECT h AS time_epoch, source, target, round(d, 6) AS dist_m, label FROM la",
+    "label_counts": EDGES + " SELECT count(*) AS total, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM la",
+    "class_weight": EDGES + " SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, round(greatest(1.0, count(*) FILTER (label = 0)::DOUBLE / greatest(1, count(*) FILTER (label = 1))), 6) AS weight FROM la",
+    "confusion_matrix": EDGES + " SELECT label, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM sc GROUP BY 1, 2",
+    "calibration_curve": EDGES + " SELECT CAST(greatest(0, ceil(p::DOUBLE * 10) - 1) AS INTEGER) AS bin, round(avg(p::DOUBLE), 6) AS predicted, round(avg(label), 6) AS observed, count(*) AS n FROM sc GROUP BY 1",
+    "max_target_prob": EDGES + " SELECT target, round(max(p::DOUBLE), 6) AS pred_proba FROM sc GROUP BY 1",
+    "average_precision": EDGES + ", g AS (SELECT p, sum(label) AS y, count(*) AS c FROM sc GROUP BY p), t AS (SELECT y, sum(y) OVER (ORDER BY p DESC) AS tp, sum(c) OVER (ORDER BY p DESC) AS n FROM g) SELECT round(sum(y * tp::DOUBLE / n) / sum(y), 6) AS average_precision FROM t",
+    "missing_cells": PANEL + " SELECT DISTINCT cell_id FROM pa WHERE cell_id NOT IN (SELECT 'cell_' || (c_custkey % 40) || '_' || ((c_custkey // 40) % 38) FROM customer WHERE (c_custkey % 40 + 7 * ((c_custkey // 40) % 38)) % 13 <> 5)",
+    "mean_wind": PANEL + " SELECT cell_id, round((degrees(atan2(avg(v10_mean), avg(u10_mean))) + 360) % 360, 3) AS wind_deg FROM pa GROUP BY 1",
+    "adjacency_rw": EDGES + ", me AS (SELECT median(d) AS m FROM kn), e AS (SELECT source, target, exp(-d / m) AS w FROM kn, me), y AS (SELECT src, dst, sum(w) AS w FROM (SELECT source AS src, target AS dst, w FROM e UNION ALL SELECT target, source, w FROM e) GROUP BY 1, 2) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM y",
+}

@@ -102,7 +102,7 @@ def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0) ->
     """(cell_id, station_idx, dist_m) of cells (cell_id, lon, lat); ties go to the smaller (lat, lon).
 
     Cells and stations meet on tiles of `step` degrees: stations are copied to the eight tiles around their own. A cell whose nearest
-    station there lies within what one tile guarantees is done; the rest meet all stations, in blocks of the cells left.
+    station there lies within what one tile guarantees is done; the rest try again on tiles eight times as wide, at last on one.
     """
     tile = lambda c, d: F.floor(F.col(c) / step).cast("long") + d
     near = stations.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
@@ -110,11 +110,12 @@ def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0) ->
     own = cells.select("cell_id", "lat", "lon", tile("lat", F.lit(0)).alias("ty"), tile("lon", F.lit(0)).alias("tx"))
     pick = lambda df: df.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).groupBy("cell_id").agg(F.min(F.struct("d", "slat", "slon", "station_idx")).alias("best"), F.max(F.abs("lat")).alias("at"))
     found = pick(own.join(near, ["ty", "tx"]))
-    sure = F.radians(F.lit(step)) * 6371000.0 * F.cos(F.radians(F.least(F.lit(89.0), F.col("at") + step))) * 0.99
+    sure = F.lit(float("inf")) if step >= 400 else F.radians(F.lit(step)) * 6371000.0 * F.cos(F.radians(F.least(F.lit(89.0), F.col("at") + step))) * 0.99
     done = found.where(F.col("best.d") < sure).select("cell_id", F.col("best.station_idx").alias("station_idx"), F.col("best.d").alias("dist_m"))
-    left = own.join(done, "cell_id", "left_anti").withColumn("one", F.lit(1))
-    rest = pick(left.join(stations.select("station_idx", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.lit(1).alias("one")), "one"))
-    return done.union(rest.select("cell_id", F.col("best.station_idx"), F.col("best.d")))
+    left = cells.join(done, "cell_id", "left_anti")
+    if step >= 400 or left.isEmpty():
+        return done
+    return done.union(nearest_station(left, stations, step * 8))
 
 
 def aggregate_station_weather(weather: DataFrame, stations: DataFrame) -> DataFrame:
