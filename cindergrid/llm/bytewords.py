@@ -20,7 +20,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes that part tokens where punctuation doesn't count: ASCII other than letters and digits.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+            p = np.full(max(n + n // 4, SLICE_BYTES * 5 // 4), base, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p, dtype=np.uint64)
     return _powers[0], _powers[1]

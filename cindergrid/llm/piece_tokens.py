@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from cindergrid.llm import bytewords as bw
 
-SLICE, TABLE = 4 << 20, 400_000
+SLICE, TABLE = 1 << 20, 400_000
 MARK = "▁"
 ODD = MARK.encode()
 
@@ -94,10 +94,17 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", with_ids: boo
             ids = [sp.bos_id(), *sp.encode(data.decode()), sp.eos_id()]
             return np.array(ids, "<u4"), sha(sp.decode(ids).encode())
 
+        def made_of(part, ids, said):
+            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string()), pa.array(said, pa.string())]
+            if with_ids:
+                at = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32))))
+            return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=schema.names)
+
         for batch in batches:
             raw, offsets = bw.text_bytes(batch.column("__text"))
-            out_ids, out_text = [], []
             for lo, hi in bw.slices(offsets, SLICE):
+                out_ids, out_text = [], []
                 part = raw[offsets[lo] : offsets[hi]]
                 at = offsets[lo : hi + 1] - offsets[lo]
                 data = part.tobytes()
@@ -105,6 +112,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", with_ids: boo
                     both = [whole(data[a:b]) for a, b in zip(at[:-1], at[1:])]
                     out_ids += [x for x, _ in both]
                     out_text += [x for _, x in both]
+                    yield made_of(batch.slice(lo, hi - lo), out_ids, out_text)
                     continue
                 if len(table.same) > TABLE:
                     table.clear()
@@ -136,8 +144,6 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", with_ids: boo
                         out_ids.append(ids)
                         # every chunk decodes to itself, so the text does
                         out_text.append(sha(own) if plain[r] else sha(sp.decode(ids.tolist()).encode()))
-            columns = [pa.array([len(x) for x in out_ids], pa.int64()), pa.array([sha(x.tobytes()) for x in out_ids], pa.string()), pa.array(out_text, pa.string())]
-            columns += [pa.array([x.astype(np.int32) for x in out_ids], pa.list_(pa.int32()))] * with_ids
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=schema.names)
+                yield made_of(batch.slice(lo, hi - lo), out_ids, out_text)
 
     return rows.mapInArrow(run, schema)
