@@ -4,6 +4,8 @@ Sources in code-point order, null last, take the weights of a repeating cycle. T
 no target passes `cap` times its source's words, and what it would have more is shared again by weight among the others.
 With the sources sorted by cap / weight this is one level: target = min(cap * words, level * weight).
 
+Texts are only counted and hashed; what is joined, sorted and summed are narrow rows, written once to the shared folder.
+
 Within a source documents follow ascending Efraimidis-Spirakis keys, -ln(u) / quality, u a hash of the seed, id and text.
 A target of whole rounds takes every document that often; the rest is a prefix of that order, and the last document of
 it counts with the words that still fit, so a source's words come to the whole part of its target. The order is never
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cindergrid.llm.common import WORD
+from cindergrid.llm.common import WORD, written
 
 BUCKET = 1000
 
@@ -43,17 +45,25 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), percent
     return per.select("source", "source_size", "n", "mean_quality", "target", rounds.alias("rounds"), (F.floor("target").cast("long") - rounds * F.col("source_size")).alias("rest"))
 
 
-def mix_sources(docs: DataFrame, quality: Column | None = None, *, cycle: tuple[int, ...] = (3, 1, 2), percent: int = 150, cap: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs (all but the text unless named) with size, source_size, target and taken, in words."""
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, *, cycle: tuple[int, ...] = (3, 1, 2), percent: int = 150, cap: int = 2, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all but the text unless named) with size, source_size, target and taken, in words.
+
+    quality has a row (doc_id, quality) for each id that has one.
+    """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    quality = F.lit(1.0) if quality is None else quality
     rows = docs.select(
         F.struct(*(F.col(c) for c in keep)).alias("row"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.when(quality > 0, quality).otherwise(1.0).cast("double").alias("quality"),
+        F.col(doc_id).alias("id"),
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("hash"),
     )
+    if quality is None:
+        rows = rows.withColumn("quality", F.lit(1.0))
+    else:
+        known = quality.select(F.col("doc_id").alias("known"), F.col("quality").cast("double").alias("quality"))
+        rows = rows.join(known, rows["id"] == known["known"], "left").drop("known")
+    rows = written(rows.withColumn("quality", F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)).drop("id"))
     targets = source_targets(rows.select("source", "size", "quality"), cycle, percent, cap).withColumnRenamed("source", "own")
     u = (F.shiftrightunsigned("hash", 11) + 0.5) / 2.0**53
     rows = rows.withColumn("key", -F.log(u) / F.col("quality")).join(targets, F.col("source").eqNullSafe(F.col("own"))).drop("own")

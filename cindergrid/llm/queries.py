@@ -51,17 +51,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render_conversations(table(spark, sf_dir, "conversations"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with __weight: 2 for documents labelled good, a half for bad ones, 1 for the rest."""
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
-    docs = docs.join(known, docs["doc_id"] == known["__id"], "left").drop("__id")
-    return docs.withColumn("__weight", F.when(F.col("__quality") == 1, 2.0).when(F.col("__quality") == 0, 0.5).otherwise(1.0)).drop("__quality")
+def label_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): 2 for documents labelled good, a half for bad ones."""
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    return known.select("doc_id", F.when(F.col("good") == 1, 2.0).when(F.col("good") == 0, 0.5).alias("quality"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", "text")
-    mixed = mixing.mix_sources(with_quality(sized, table(spark, sf_dir, "labels")), F.col("__weight"), keep=["doc_id"])
+    mixed = mixing.mix_sources(docs, label_quality(table(spark, sf_dir, "labels")), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

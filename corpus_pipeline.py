@@ -37,11 +37,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and selects documents so that sources meet their targets; the last one that a source takes stays whole."""
-    own = queries.with_quality(docs.select(*DOCUMENT), table(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(own, F.col("__weight"), keep=DOCUMENT)
-    copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.where("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*DOCUMENT)
+    """Repeats and selects documents so that sources meet their targets; the last one that a source takes stays whole.
+
+    Rows without texts are mixed; then each distinct document meets its number of copies, which moves its text once.
+    """
+    docs = docs.select(*DOCUMENT)
+    same = F.xxhash64(F.col("doc_id").isNull(), *DOCUMENT[1:])
+    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__same", same)
+    mixed = mixing.mix_sources(keyed, queries.label_quality(table(spark, sf_dir, "labels")), keep=["__id", "__same"])
+    copies = mixed.where("taken > 0").groupBy("__id", "__same").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+    found = keyed.dropDuplicates(["__id", "__same"]).join(copies, ["__id", "__same"])
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*DOCUMENT)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
