@@ -8,8 +8,9 @@ The boundary is where the subsets' cost first exceeds the lists' cost, by totals
 
 A list of up to SHORT_LIST sets gives its pairs of compatible size, of which those go that provably differ too much: each set
 has a bitmap in which every n-gram flips one bit, and two bitmaps never differ in more bits than the sets in n-grams. A longer
-list is never turned into pairs: sorted by size, its neighbours of compatible size are chained (an n-gram of a hot bucket is
-a node of its own instead, so its list is never sorted in one place). The components of all this hold every possible link. Each component is cut into blocks by size class and hash; pairs of blocks that
+list is never turned into pairs: sorted by size, each run of neighbours of compatible size is tied to the run's smallest id, which many
+lists share, so their edges coincide. An n-gram of a hot bucket is a node of its own; its list is dealt by id into PARTS parts, each tied
+to its smallest id and that one to the node, so no list is sorted in one place. The components of all this hold every possible link. Each component is cut into blocks by size class and hash; pairs of blocks that
 may hold links meet in one task, which counts all overlaps exactly and returns a spanning forest of its links. A component of one
 block is shipped once; one of r blocks r times, so only components larger than a partition's share cost more than their size.
 
@@ -30,7 +31,7 @@ from cindergrid.llm.common import connected_components, written
 BUCKETS, SLICES = 1 << 20, 64
 BLOCK_SETS, BLOCK_GRAMS, LEAST_GRAMS = 512, 1_000_000, 4096
 BROADCAST_IDS = 200_000
-SHORT_LIST = 32
+SHORT_LIST, PARTS = 32, 64
 NODE = "node long"
 
 
@@ -136,7 +137,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
                     yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(gram.view(np.int64)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(len(kind), pa.binary())], names=NAMES)
 
     rows = texts.where("doc_id is not null").mapInArrow(signatures, "kind int, gram long, size long, cid long, bitmap binary")
-    rows = written(rows.repartition("kind", "gram", F.when(F.col("kind") == 1, F.pmod("cid", F.lit(64)))).sortWithinPartitions("kind", "gram", "size", "cid").mapInArrow(chains(percent), "kind int, u long, v long, bitmap binary"))
+    part = F.when(F.col("kind") == 1, F.pmod("cid", F.lit(PARTS)))
+    rows = written(rows.repartition("kind", "gram", part).sortWithinPartitions("kind", "gram", part, "size", "cid").mapInArrow(chains(percent), "kind int, u long, v long, bitmap binary"))
     # a set and what it lacks one n-gram of: each set hash has one owner, so this is as long as the subsets
     whole = rows.where("kind = 3").select(F.col("u"), F.col("v").alias("key")).distinct()
     small = rows.where("kind = 2").select(F.col("u").alias("v"), F.col("v").alias("key")).distinct().join(whole, "key").select("u", "v")
@@ -194,7 +196,8 @@ def close(percent: int):
 def chains(percent: int):
     """Sorted entries to edges, list by list.
 
-    Kind 5: pairs of compatible sizes in short lists; 0: such neighbours in longer ones; 1: a set and its hot n-gram. Kinds 2 to 4 pass.
+    Kind 5: pairs of compatible sizes in short lists; 0: a set and the smallest of its run in longer ones; 1: the smallest of a hot
+    n-gram's part and the n-gram. Kinds 2 to 4 pass.
     A list that a batch cuts is held back until it ends, or is long: then its last entry is enough.
     """
 
@@ -212,12 +215,12 @@ def chains(percent: int):
                 part = [np.r_[a, b] for a, b in zip(held, part)]
             if not len(part[0]):
                 continue
-            kind, gram = part[:2]
-            start = int(np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])])[-1])
+            kind, gram, _, cid = part
+            start = int(np.flatnonzero(list_starts(kind, gram, cid))[-1])
             if len(kind) - start > 4 * SHORT_LIST + 200_000:  # a long list goes on: its part here is chained, from the end on later
                 yield from edges(part, start)
                 held = [x[-1:] for x in part]
-                long_list.add((int(kind[-1]), int(gram[-1])))
+                long_list.add((int(kind[-1]), int(gram[-1])))  # a hot list's parts are treated alike, long or not
             else:
                 yield from edges([x[:start] for x in part], None)
                 held = [x[start:] for x in part]
@@ -226,31 +229,39 @@ def chains(percent: int):
 
     long_list: set = set()
 
+    def list_starts(kind, gram, cid):
+        part = np.where(kind == 1, cid % PARTS, 0)
+        return np.r_[True, (kind[1:] != kind[:-1]) | (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]
+
     def edges(part, forced):
         kind, gram, size, cid = part
         if not len(kind):
             return
         fresh = np.r_[True, (kind[1:] != kind[:-1]) | (gram[1:] != gram[:-1]) | (cid[1:] != cid[:-1])]
         kind, gram, size, cid = (x[fresh] for x in (kind, gram, size, cid))
-        first = np.r_[True, (kind[1:] != kind[:-1]) | (gram[1:] != gram[:-1])]
+        first = list_starts(kind, gram, cid)
         run_of = np.cumsum(first) - 1
         length = np.bincount(run_of)[run_of]
         if forced is not None:
             length[run_of == run_of[-1]] = SHORT_LIST + 1
         if (int(kind[0]), int(gram[0])) in long_list:
             length[run_of == 0] = SHORT_LIST + 1
-        out = [(np.full((kind == 1).sum(), 1), cid[kind == 1], gram[kind == 1])]
-        listed = np.flatnonzero((kind == 0) & (length > 1))
-        short = length[listed] <= SHORT_LIST
+        apart = first.copy()
+        apart[1:] |= (kind[1:] == 0) & (100 * size[:-1] < percent * size[1:])
+        at = np.flatnonzero(apart)
+        least = np.minimum.reduceat(cid, at)
+        tied = np.repeat(least, np.diff(np.r_[at, len(cid)]))
+        star = (cid != tied) & ((kind == 1) | (length > SHORT_LIST))
+        out = [(np.zeros(star.sum(), np.int64), cid[star], tied[star])]
+        hot = kind[at] == 1
+        out.append((np.ones(hot.sum(), np.int64), least[hot], gram[at[hot]]))
+        listed = np.flatnonzero((kind == 0) & (length > 1) & (length <= SHORT_LIST))
         for step in range(1, SHORT_LIST):
             a, b = listed[:-step], listed[step:]
             good = (run_of[a] == run_of[b]) & (100 * size[a] >= percent * size[b])
-            good &= short[step:] if step > 1 else True
             if not good.any():
-                if step > 1:
-                    break
-                continue
-            out.append((np.where(short[step:][good], 5, 0), cid[a[good]], cid[b[good]]))
+                break
+            out.append((np.full(good.sum(), 5), cid[a[good]], cid[b[good]]))
         k, u, v = (np.concatenate(x) for x in zip(*out))
         yield pa.record_batch([pa.array(k, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(k), pa.binary())], names=["kind", "u", "v", "bitmap"])
 
