@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,30 @@ def test_pieces(spark, odd):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
     assert piece_tokens.encode_pieces(df.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("batch_rows", [7, 64, 10_000])
+def test_long_lists_tie_what_chains_would(batch_rows):
+    """Long lists connect the same sets as links between compatible neighbours do; hot n-grams connect all their sets."""
+    rng = np.random.default_rng(3)
+    rows = sorted({(kind, gram, cid % ngram_join.PARTS if kind == 1 else 0, 20 + cid % 9 + 60 * (cid % 2), cid) for kind, gram, n in ((0, 1, 90), (0, 2, 50), (1, 3, 200), (1, 4, 80)) for cid in map(int, rng.integers(1000 * gram, 1000 * gram + 900, n))})
+    batches = [pa.record_batch([pa.array([r[0] for r in part], pa.int32()), *(pa.array([r[i] for r in part], pa.int64()) for i in (1, 3, 4)), pa.nulls(len(part), pa.binary())], names=ngram_join.NAMES) for part in (rows[i : i + batch_rows] for i in range(0, len(rows), batch_rows))]
+    edges = [(u, v) for b in ngram_join.chains(80)(iter(batches)) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())]
+    want = [(a[4], b[4]) for a, b in zip(rows, rows[1:]) if a[:2] == b[:2] and (a[0] == 1 or 100 * a[3] >= 80 * b[3])]
+
+    def parts(links):
+        top = {}
+
+        def find(x):
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        for u, v in links:
+            top[find(u)] = find(v)
+        found = {}
+        for r in rows:
+            found.setdefault(find(r[4]), set()).add(r[4])
+        return sorted(map(sorted, found.values()))
+
+    assert parts(edges) == parts(want)
