@@ -55,21 +55,20 @@ def with_fingerprint(df: DataFrame, text: str, into: str, k: int = K) -> DataFra
         span = F.zip_with(F.slice(left, 1, F.greatest(F.size(right), F.lit(0))) if at else left, right, lambda a, b: F.xxhash64(a, b))
         at += width
     grams = F.when(n >= k, span).when(n > 0, F.array(F.xxhash64(F.array_join(F.transform(t("w"), lambda x: x.cast("string")), " ")))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn(t("g"), F.sort_array(grams))
-    bin_of = lambda h: F.shiftrightunsigned(h, SHIFT).cast("int")
-    least = F.filter(t("g"), lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col(t("g")), i - 1))))
-    out = out.withColumn(t("m"), least)
-    low = lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    # a last possible hash for each bin stands for an empty one; each bin keeps its first value in order
+    last = F.array(*(F.lit((b << SHIFT | (1 << SHIFT) - 1) - (b >= BINS // 2) * 2**64).cast("long") for b in range(BINS)))
+    out = out.withColumn(t("g"), F.when(n > 0, F.sort_array(F.concat(grams, last))))
+    bin_of = lambda h: F.shiftrightunsigned(h, SHIFT)
+    out = out.withColumn(t("m"), F.filter(t("g"), lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(F.col(t("g")), i - 1)))))
+    low = lambda h: F.when(h.bitwiseAND(F.lit((1 << SHIFT) - 1)) != (1 << SHIFT) - 1, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
     # sorted as signed numbers the upper half of the bins comes first
-    full = F.transform(F.concat(F.slice(t("m"), BINS // 2 + 1, BINS // 2), F.slice(t("m"), 1, BINS // 2)), low)
-    some = F.size(t("m")).between(1, BINS - 1)
-    by_bin = F.map_from_entries(F.transform(t("m"), lambda h: F.struct(bin_of(h), low(h))))
-    out = out.withColumn(t("p"), F.when(some, by_bin)).withColumn(t("f"), F.when(some, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(F.col(t("p")), b))))
+    out = out.withColumn(t("f"), F.transform(F.concat(F.slice(t("m"), BINS // 2 + 1, BINS // 2), F.slice(t("m"), 1, BINS // 2)), low))
     filled = F.col(t("f"))
     tried = lambda d, j: F.get(filled, F.pmod(d["step"] * j + d["start"], F.lit(BINS)))
     rest = lambda d: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda j: tried(d, j)), lambda x: x.isNotNull()), F.lit(0))
     sparse = F.transform(densifying(), lambda d: F.coalesce(F.get(filled, d["bin"]), *(tried(d, F.lit(j)) for j in range(12)), rest(d)))
-    out = out.withColumn(into, F.when(F.size(t("m")) == BINS, full).when(some, sparse).otherwise(F.array().cast("array<int>")))
+    bins = F.when(n == 0, F.array().cast("array<int>")).when(F.exists(filled, lambda x: x.isNull()), sparse).otherwise(filled)
+    out = out.withColumn(into, bins)
     return out.drop(*(c for c in out.columns if c.startswith(f"__{into}_")))
 
 
