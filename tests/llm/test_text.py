@@ -190,6 +190,29 @@ def test_fingerprints(spark, odd):
     assert fingerprints.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_empty_bins_against_brute_force(spark):
+    """Each bin has the low bits of its smallest shingle hash; an empty one those of the first filled bin that it tries."""
+    rng = random.Random(8)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in (5, 6, 9, 40, 130, 400, 3000)] + ["same " * 50]
+    rows = [(i, j, *t.split()[j : j + 5]) for i, t in enumerate(texts) for j in range(len(t.split()) - 4)]
+    h = [F.xxhash64(c) for c in "abcde"]
+    grams = spark.createDataFrame(rows, "i int, j int, a string, b string, c string, d string, e string").select("i", F.xxhash64(F.xxhash64(F.xxhash64(h[0], h[1]), F.xxhash64(h[2], h[3])), h[4]).alias("h")).collect()
+    steps = [r for r in spark.range(1).select(F.explode(fingerprints.densifying()).alias("d")).select("d.*").collect()]
+    got = fingerprints.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "f").collect()
+    for i, _, bins in got:
+        least = {}
+        for g in grams:
+            if g.i == i:
+                u = g.h % 2**64
+                b = u >> fingerprints.SHIFT
+                least[b] = min(u, least.get(b, u))
+        want = []
+        for d in steps:
+            tries = [d.bin] + [(d.step * j + d.start) % fingerprints.BINS for j in range(fingerprints.BINS)]
+            want.append(least[next(b for b in tries if b in least)] % 2**fingerprints.BITS)
+        assert bins == want
+
+
 def test_likeness_is_unbiased(spark):
     rng = random.Random(4)
     rows, want = [], []
