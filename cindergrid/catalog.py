@@ -122,4 +122,6 @@ ORACLE = {
     "missing_cells": PANEL + " SELECT DISTINCT cell_id FROM pa WHERE cell_id NOT IN (SELECT 'cell_' || (c_custkey % 40) || '_' || ((c_custkey // 40) % 38) FROM customer WHERE (c_custkey % 40 + 7 * ((c_custkey // 40) % 38)) % 13 <> 5)",
     "mean_wind": PANEL + " SELECT cell_id, round((degrees(atan2(avg(v10_mean), avg(u10_mean))) + 360) % 360, 3) AS wind_deg FROM pa GROUP BY 1",
     "adjacency_rw": EDGES + ", me AS (SELECT median(d) AS m FROM kn), e AS (SELECT source, target, exp(-d / m) AS w FROM kn, me), y AS (SELECT src, dst, sum(w) AS w FROM (SELECT source AS src, target AS dst, w FROM e UNION ALL SELECT target, source, w FROM e) GROUP BY 1, 2) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM y",
+    "pr_curve": EDGES + ", g AS (SELECT p, sum(label) AS y, count(*) AS c FROM sc GROUP BY p), t AS (SELECT p, sum(y) OVER (ORDER BY p DESC) AS tp, sum(c) OVER (ORDER BY p DESC) AS n, sum(y) OVER () AS a FROM g) SELECT round(p::DOUBLE, 6) AS threshold, round(tp::DOUBLE / n, 6) AS precision, round(tp::DOUBLE / a, 6) AS recall FROM t",
+    "adjacency_sym": EDGES + ", me AS (SELECT median(d) AS m FROM kn), e AS (SELECT source, target, exp(-d / m) AS w FROM kn, me), y AS (SELECT src, dst, sum(w) AS w FROM (SELECT source AS src, target AS dst, w FROM e UNION ALL SELECT target, source, w FROM e) GROUP BY 1, 2), d AS (SELECT src AS node, sum(w) AS s FROM y GROUP BY 1) SELECT y.src, y.dst, round(y.w / sqrt(a.s * b.s), 6) AS weight FROM y JOIN d a ON a.node = y.src JOIN d b ON b.node = y.dst",
 }
