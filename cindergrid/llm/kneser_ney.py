@@ -1,9 +1,11 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted hash arrays, scored from memory maps.
 
 Counting: each task turns its texts into 64-bit word hashes, counts its n-grams with array operations and sends them
-packed, one row for each shard; a shard's task merges them, writes its counts as one file of hashes in ascending order
-into the shared folder, and passes on what the next lower order and the contexts need. A context's n-grams share a shard
-unless the context ends in a hot word; those are spread by the whole n-gram. Scoring maps the files and looks up a slice
+packed, one row for each shard: its distinct words once, and n-grams as places among these. A shard's task merges them,
+writes its counts as one file of hashes in ascending order into the shared folder, and passes on what the next lower
+order needs. A context's n-grams share a shard, which writes the context's sums too, unless the context ends in a hot
+word: those n-grams are spread by the whole n-gram and the sums of their contexts are merged apart. A context of two or
+more words that was seen once isn't written: it is one of the n-grams of the next lower order. Scoring maps the files and looks up a slice
 of texts at a time, so the model is never loaded whole, broadcast or sent to the driver. Shards grow in number with the
 input, not in size.
 
@@ -45,7 +47,7 @@ def save(uri: str, arrays: list[np.ndarray]) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     with fs.open_output_stream(part := f"{path}.{os.getpid()}-{os.urandom(4).hex()}") as f:
-        arrays = [arrays[0], *(a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in arrays[1:])]
+        arrays = [arrays[0], *map(narrow, arrays[1:])]
         f.write(np.array([len(arrays[0]), len(arrays), *(a.itemsize for a in arrays)], np.int64).tobytes())
         for a in arrays:
             f.write(np.ascontiguousarray(a).tobytes())
@@ -116,9 +118,39 @@ def gram_shards(grams: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int
     if n == 1:
         return shard_of(bw.mix(key), shards)
     context = bw.fold([grams[:, i] for i in range(n - 1)])
-    last = grams[:, n - 2]
-    at = np.minimum(np.searchsorted(hot, last), max(len(hot) - 1, 0))
-    return shard_of(bw.mix(np.where(hot[at] == last, key, context) if len(hot) else context), shards)
+    return shard_of(bw.mix(np.where(among(hot, grams[:, n - 2]), key, context)), shards)
+
+
+def among(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether each word is one of the hot ones, which are in ascending order."""
+    return hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
+
+
+def narrow(column: np.ndarray) -> np.ndarray:
+    return column.astype(np.min_scalar_type(int(column.max()) if len(column) else 0))
+
+
+def grams_packed(grams: np.ndarray, stats: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Grams of several words as their distinct words and places among these, sorted by the first word; narrow stats."""
+    words = np.zeros(0, np.uint64)
+    if grams.shape[1] > 1:
+        words, place = np.unique(grams, return_inverse=True)
+        place = place.reshape(grams.shape).astype(np.min_scalar_type(max(len(words) - 1, 0)))
+        order = np.argsort(place[:, 0], kind="stable")
+        grams, stats = place[order], [s[order] for s in stats]
+    stats = [narrow(s) for s in stats]
+    return b"".join([np.array([len(words), grams.itemsize], np.int64).tobytes(), words.tobytes(), np.ascontiguousarray(grams.T).tobytes()]), b"".join([np.array([s.itemsize for s in stats], np.int64).tobytes(), *(s.tobytes() for s in stats)])
+
+
+def grams_unpacked(grams: bytes, stats: bytes, width: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    n, size = np.frombuffer(grams, np.int64, 2).tolist()
+    words = np.frombuffer(grams, np.uint64, n, 16)
+    rows = np.frombuffer(grams, f"u{size}", -1, 16 + 8 * n).reshape(width, -1).T
+    out, at = np.zeros((columns, len(rows)), np.int64), 8 * columns
+    for o, size in zip(out, np.frombuffer(stats, np.int64, columns).tolist()):
+        o[:] = np.frombuffer(stats, f"u{size}", len(rows), at)
+        at += size * len(rows)
+    return words[rows] if width > 1 else rows, out
 
 
 def packed(level: int, shard: np.ndarray, grams: np.ndarray, *stats: np.ndarray):
@@ -127,14 +159,14 @@ def packed(level: int, shard: np.ndarray, grams: np.ndarray, *stats: np.ndarray)
     shard, grams, stats = shard[order], grams[order], [s[order] for s in stats]
     at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
     ends = [*at[1:], len(shard)] if len(shard) else []
-    rows = [[level] * len(at), [int(shard[i]) for i in at], [grams[a:b].tobytes() for a, b in zip(at, ends)], [b"".join(s[a:b].astype(np.uint64).tobytes() for s in stats) for a, b in zip(at, ends)]]
+    made = [grams_packed(grams[a:b], [s[a:b] for s in stats]) for a, b in zip(at, ends)]
+    rows = [[level] * len(at), [int(shard[i]) for i in at], [g for g, _ in made], [s for _, s in made]]
     return pa.record_batch([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=["level", "shard", "grams", "stats"])
 
 
 def unpacked(table: pa.Table, width: int, stats: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    grams = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, width) for x in table["grams"]]
-    values = [np.frombuffer(x.as_py(), np.uint64).reshape(stats, -1) for x in table["stats"]]
-    return np.concatenate(grams), list(np.concatenate(values, axis=1).astype(np.int64))
+    grams, values = zip(*(grams_unpacked(g.as_py(), s.as_py(), width, stats) for g, s in zip(table["grams"], table["stats"])))
+    return np.concatenate(grams), list(np.concatenate(values, axis=1))
 
 
 def gram_rows(words: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +191,7 @@ class KneserNey:
         self.folder, self.order, self.shards, self.total, self.types, self.discounts, self.hot, self.base = folder, order, shards, total, types, discounts, hot, base
 
     @staticmethod
-    def fit(docs: DataFrame, text: str = "text", order: int = 2, shard_bytes: int = SHARD_BYTES) -> KneserNey:
+    def fit(docs: DataFrame, text: str = "text", order: int = 3, shard_bytes: int = SHARD_BYTES) -> KneserNey:
         """Learns from every text of docs. order: n-gram length, 2 or more."""
         if order < 2:
             raise ValueError("order must be 2 or more")
@@ -221,7 +253,7 @@ class KneserNey:
                 yield out()
 
         def level(k: int):
-            """Merges a shard of level k: writes its counts, passes on suffixes (level k - 1) and contexts (level -k)."""
+            """Merges a shard of level k: writes its counts and contexts, passes on suffixes (level k - 1) and contexts that end in a hot word (level -k)."""
 
             def merge(table: pa.Table) -> pa.Table:
                 rows, (count,) = unpacked(table, k, 1)
@@ -236,8 +268,10 @@ class KneserNey:
                     skey, rest, scount = distinct_grams(rest, np.where(rest[:, 0] == BOS, count, 1))
                     out.append(packed(k - 1, gram_shards(rest, skey, hot, shards), rest, scount))
                     context = bw.fold([rows[:, i] for i in range(k - 1)])
-                    ckey, *sums = summed(context, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
-                    out.append(packed(-k, shard_of(bw.mix(ckey), shards), ckey[:, None], *sums))
+                    ckey, *sums, often = summed(context, count, *(x.astype(np.int64) for x in (count == 1, count == 2, count > 2, among(hot, rows[:, k - 2]))))
+                    own, often = (often == 0) & ((sums[0] > 1) | (k == 2)), often > 0
+                    save(f"{folder}/contexts{k}/{shard}", [ckey[own], *(x[own] for x in sums)])
+                    out.append(packed(-k, shard_of(bw.mix(ckey[often]), shards), ckey[often][:, None], *(x[often] for x in sums)))
                 return pa.Table.from_batches(out)
 
             return merge
@@ -246,7 +280,7 @@ class KneserNey:
             def merge(table: pa.Table) -> pa.Table:
                 keys, sums = unpacked(table, 1, 4)
                 key, *sums = summed(keys[:, 0], *sums)
-                save(f"{folder}/contexts{k}/{table['shard'][0].as_py()}", [key, *sums])
+                save(f"{folder}/often{k}/{table['shard'][0].as_py()}", [key, *sums])
                 return pa.table({"n": pa.array([len(key)])})
 
             return merge
@@ -300,8 +334,15 @@ class KneserNey:
                         gram = rows[:, model.order - k :]
                         key, at, again = np.unique(bw.fold([gram[:, i] for i in range(k)]), return_index=True, return_inverse=True)
                         (c2,) = stat(maps, f"grams{k}", 1, key, gram_shards(gram[at], key, hot, shards))
-                        context, cback = np.unique(bw.fold([gram[:, i] for i in range(k - 1)]), return_inverse=True)
-                        total, n1, n2, n3 = stat(maps, f"contexts{k}", 4, context, shard_of(bw.mix(context), shards))
+                        context, at, cback = np.unique(bw.fold([gram[:, i] for i in range(k - 1)]), return_index=True, return_inverse=True)
+                        words, often, sums = gram[at, : k - 1], among(hot, gram[at, k - 2]), np.zeros((4, len(context)))
+                        for kind, own in (("contexts", ~often), ("often", often)):
+                            sums[:, own] = stat(maps, f"{kind}{k}", 4, context[own], shard_of(bw.mix(context[own]), shards))
+                        if k > 2:
+                            once = np.flatnonzero(~often & (sums[0] == 0))
+                            (seen,) = stat(maps, f"grams{k - 1}", 1, context[once], gram_shards(words[once], context[once], hot, shards))
+                            sums[:2, once] = seen > 0
+                        total, n1, n2, n3 = sums
                         d1, d2, d3 = model.discounts[k - 1]
                         d = np.array([0, d1, d2, d3])
                         known = total > 0
@@ -348,7 +389,7 @@ def discount(n: list[int]) -> tuple[float, float, float]:
     return (0.5, 1.0, 1.5)
 
 
-def perplexity_table(docs: DataFrame, learn: Column, text: str = "text", order: int = 2) -> DataFrame:
+def perplexity_table(docs: DataFrame, learn: Column, text: str = "text", order: int = 3) -> DataFrame:
     """docs' other columns with n_tokens, n_known, train_tokens, base_score and score; learns from the rows where learn holds.
 
     With no training rows every score is the even spread over the unknown word alone. Columns named like a result

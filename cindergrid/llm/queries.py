@@ -14,7 +14,7 @@ from cindergrid.llm.common import crc_mod, table
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod(F.col("doc_id"), 5) == 1
-    scored = kneser_ney.perplexity_table(docs, ~held, order=2)
+    scored = kneser_ney.perplexity_table(docs, ~held, order=3)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -75,6 +76,25 @@ def test_kneser_ney(spark, odd, order):
     assert none.train_tokens == 0 and math.isfinite(none.score)
 
 
+def test_lm_score_uses_trigrams(spark, tmp_path):
+    # with equal word pairs, only three words tell the texts apart
+    texts = ["a b c", "d b e"] * 10 + ["a b c", "a b e"]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:20] + [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in zip(ids, texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_lm_score(spark, str(tmp_path)).collect()}
+    seen, other = got[ids[-2]], got[ids[-1]]
+    assert seen.held_out and other.held_out and seen.score - other.score > 0.5
+
+
+def test_packed_grams_come_back():
+    rng = np.random.default_rng(1)
+    for width, n in ((1, 5), (2, 300), (3, 70000), (3, 0)):
+        grams, stats = rng.integers(0, 2**63, (n, width)).astype(np.uint64), [rng.integers(1, top, n) for top in (2, 300, 1 << 40)]
+        back, values = kneser_ney.grams_unpacked(*kneser_ney.grams_packed(grams, stats), width, 3)
+        row = lambda g, s: sorted(map(tuple, np.c_[g, np.array(s).T.astype(np.uint64)].tolist()))
+        assert row(grams, stats) == row(back, values)
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 80)])
 def test_jaccard_components(spark, odd, n, percent):
     rng = random.Random(7)
