@@ -28,10 +28,17 @@ def station_map(sp, d):
     return panel.nearest_station(cells, STATION(sp, d))
 
 
+def static_features(sp, d):
+    """Numbers and modes of each cell, and a map of the shares of all its land covers; null without any."""
+    points = s.topo_points(sp, d)
+    shares = panel.category_shares(points, "landcover").select("cell_id", F.transform_values("shares", lambda _, x: F.round(x, 6)).alias("landcover_shares"))
+    return rounded(panel.aggregate_static(points, ["elevation", "slope"], ["landcover"], {"landcover": []})).join(shares, "cell_id", "left")
+
+
 def imputed(sp, d):
     from cindergrid.operators.knn import knn_impute
 
-    static = panel.aggregate_static(s.topo_points(sp, d), ["elevation", "slope"], ["landcover"])
+    static = panel.aggregate_static(s.topo_points(sp, d), ["elevation", "slope"], ["landcover"], {"landcover": []})
     return rounded(knn_impute(static, s.centroids(static), 5, ["elevation_mean"], ["landcover_mode"]).select("cell_id", "elevation_mean", "landcover_mode", "slope_mean"))
 
 
@@ -44,7 +51,7 @@ def example_features(sp, d):
 P = s.hourly_panel
 QUERIES = {
     "assigned_points": lambda sp, d: s.points(sp, d).select("event_id", "cell_id"),
-    "static_features": lambda sp, d: rounded(panel.aggregate_static(s.topo_points(sp, d), ["elevation", "slope"], ["landcover"], {"landcover": ["AUTOMOBILE", "BUILDING"]})),
+    "static_features": static_features,
     "weather_cell_time": lambda sp, d: bin_text(rounded(panel.aggregate_weather(s.weather_points(sp, d, 360)))),
     "fire_cell_time": lambda sp, d: bin_text(rounded(panel.aggregate_fire(s.fire_points(sp, d)))),
     "panel_sparse": lambda sp, d: bin_text(rounded(P(sp, d).select("cell_id", "datetime_bin", "epoch_hr", "t2m_mean", "t2m_max", "_obs_count_sum", "frp_sum", "fire_count", "fire_any"))),

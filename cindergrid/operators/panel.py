@@ -15,7 +15,10 @@ NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
 def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[str] = (), values: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per cell mean, sample std, min, max of numbers; mode (ties: smallest) and shares of categories."""
+    """Per cell mean, sample std, min, max of numbers; mode (ties: smallest) and shares of categories.
+
+    A share's column for each of the given values, else for each value there is; category_shares fits columns of many values.
+    """
     points = points.where("cell_id is not null")
     named = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     aggs = [f(c).alias(f"{c}_{n}") for c in numeric for n, f in named.items()]
@@ -23,7 +26,7 @@ def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[st
         aggs.append(F.mode(c, True).alias(f"{c}_mode"))
         known = (values or {}).get(c)
         if known is None:
-            known = sorted(r[0] for r in points.where(F.col(c).isNotNull()).select(c).distinct().limit(1000).collect())
+            known = sorted(r[0] for r in points.where(F.col(c).isNotNull()).select(c).distinct().collect())
         aggs += [F.try_divide(F.count_if(F.col(c) == v), F.count(c)).alias(f"{c}_prop_{v}") for v in known]
     return points.groupBy("cell_id").agg(*aggs) if aggs else points.select("cell_id").distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cindergrid import catalog
 from cindergrid.functions import expressions as x
 from cindergrid.operators import edges, evaluate, graph, grid, knn, panel, tensor
+from cindergrid.plans import spread
 from cindergrid.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +54,17 @@ def test_static_aggregate(spark):
     assert got["b"].e_std is None and got["b"].c_mode is None and got["b"].c_prop_u is None
 
 
+def test_shares_of_all_values(spark):
+    p = spark.range(1200).select(F.lit("a").alias("cell_id"), F.col("id").cast("string").alias("c"))
+    assert sum(n.startswith("c_prop_") for n in panel.aggregate_static(p, [], ["c"]).columns) == 1200
+    want = {}
+    for r in spread.topo_points(spark, SF).collect():
+        want.setdefault(r.cell_id, []).append(r.landcover)
+    assert len({v for x in want.values() for v in x}) == 5
+    got = {r.cell_id: r.landcover_shares for r in catalog.QUERIES["static_features"](spark, SF).collect()}
+    assert got == {c: {v: round(x.count(v) / len(x), 6) for v in x} for c, x in want.items()}
+
+
 def test_fill_orders(spark):
     w = spark.sql("select 'a' cell_id, timestamp'2020-01-01 00:00:00' datetime_bin, 5.0D t2m_mean, 1.0D t2m_std")
     f = spark.sql("select 'a' cell_id, timestamp'2020-01-01 01:00:00' datetime_bin, 2.0D frp_sum, 1 fire_count, true fire_any")
