@@ -126,6 +126,11 @@ class Toxicity:
         model.slope, model.offset = logistic([(r.bin + 0.5 * (r.bin > 0)) * STEP for r in rows], [r.bad for r in rows], [r.good for r in rows], share)
         return model
 
+    @property
+    def separates(self) -> bool:
+        """Whether scores depend on the texts."""
+        return len(self.words) > 0 and self.slope > 0
+
     def hits(self, texts: pa.Array):
         """For each text the places and gains of its tokens that have log-odds, and its number of tokens."""
         for lo, hi, h, first in bw.word_hashes(texts, bw.MARKS):

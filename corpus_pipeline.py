@@ -12,15 +12,25 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter. The others keep their columns."""
+    """Drops documents of no language: null texts and texts without a letter. The others keep their columns.
+
+    Where no language could be learned, or a single one, there is nothing to tell apart, and the letters alone decide.
+    """
     net = language_id.fit(docs.select("doc_id", "text", "lang"), crc_mod(F.col("doc_id"), 4) != 2)
+    if net is None or len(net.languages) < 2:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*DOCUMENT)
     found = language_id.predict(docs.select(*DOCUMENT, F.col("text").alias("__t")), net, "__t")
     return found.where(F.col("lang_pred") != language_id.UND).select(*DOCUMENT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored toxic (0.5 or more) by a model fitted on the labelled ones among them."""
+    """Drops documents scored toxic (0.5 or more) by a model fitted on the labelled ones among them.
+
+    A model that scores all texts alike, as without toxic or without harmless labelled texts, drops none.
+    """
     model = toxicity.Toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
+    if not model.separates:
+        return docs.select(*DOCUMENT)
     found = model.score(docs.select(*DOCUMENT, F.col("text").alias("__t")), "__t")
     return found.where(F.col("toxicity") < 0.5).select(*DOCUMENT)
 

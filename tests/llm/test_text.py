@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cindergrid.llm import chat_format, exact_topk, fingerprints, kneser_ney, language_id, mixing, ngram_join, piece_tokens, queries, toxicity, url_filters
 from cindergrid.llm.common import connected_components
 
@@ -326,3 +327,18 @@ def test_long_lists_tie_what_chains_would(batch_rows):
         return sorted(map(sorted, found.values()))
 
     assert parts(edges) == parts(want)
+
+
+@pytest.mark.parametrize("lang", [None, "en", "und"])
+def test_language_stage_without_languages(spark, odd, lang):
+    docs = spark.createDataFrame(odd, SCHEMA).withColumn("lang", F.lit(lang).cast("string"))
+    got = corpus_pipeline.language_stage(spark, docs, "").collect()
+    want = [r for r in odd if any(c.isalpha() for c in r[1] or "")]
+    assert sorted((r.text, r.lang) for r in got) == sorted((r[1], lang) for r in want) if lang else sorted(r.text for r in got) == sorted(r[1] for r in want)
+
+
+@pytest.mark.parametrize("toxic", [1, 0, None])
+def test_toxicity_stage_with_one_class(spark, odd, tmp_path, toxic):
+    spark.createDataFrame([(r[0], 1, toxic) for r in odd], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.toxicity_stage(spark, spark.createDataFrame(odd, SCHEMA), str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, odd))
