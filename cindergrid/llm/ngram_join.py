@@ -65,10 +65,15 @@ def set_id(total: np.ndarray, size: np.ndarray) -> np.ndarray:
     return bw.mix(total + size.astype(np.uint64) * np.uint64(bw.BASE)).view(np.int64)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links."""
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
+
+    keyed: also text_key, the xxhash64 of the text, and label, which tells components apart that a repeated doc_id
+    makes alike; null for texts without a set.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    hashed = texts.withColumn("text_key", F.xxhash64("text"))
     limit = largest_boundary(percent)
 
     def classes(batches):
@@ -80,17 +85,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
                 seen = True
                 counts += np.bincount((gram >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
                 size = np.diff(at)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(set_id(total, size)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "size", "cid", "slice", "counts"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(set_id(total, size)), batch.column(2).slice(lo, hi - lo), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "size", "cid", "text_key", "slice", "counts"])
         if seen:
             parts = np.split(counts.astype(np.uint32), SLICES)
-            yield pa.record_batch([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "size", "cid", "slice", "counts"])
+            yield pa.record_batch([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "size", "cid", "text_key", "slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table["counts"])
         return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    both = written(texts.mapInArrow(classes, "doc_id long, size long, cid long, slice int, counts binary"))
-    members = both.where("slice is null").select("doc_id", "size", "cid")
+    both = written(hashed.mapInArrow(classes, "doc_id long, size long, cid long, text_key long, slice int, counts binary"))
+    members = both.where("slice is null").select("doc_id", "size", "cid", "text_key")
     # BUCKETS counts of 8 bytes, whatever the input
     counts = np.zeros(BUCKETS, np.int64)
     for r in both.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
@@ -152,9 +157,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     reach = connected_components(links)
     tops = groups.join(reach.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "size", "rep", F.coalesce("label", "cid").alias("label"))
     least = tops.groupBy("label").agg(F.min("rep").alias("component_id"))
-    tops = tops.join(least, "label").select("cid", "size", "component_id")
+    tops = tops.join(least, "label").select("cid", "size", "component_id", "label")
     found = members.join(tops, ["cid", "size"], "left")
-    return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *(["text_key", "label"] if keyed else []))
 
 
 NAMES = ["kind", "gram", "size", "cid", "bitmap"]

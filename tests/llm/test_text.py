@@ -342,3 +342,14 @@ def test_toxicity_stage_with_one_class(spark, odd, tmp_path, toxic):
     spark.createDataFrame([(r[0], 1, toxic) for r in odd], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.toxicity_stage(spark, spark.createDataFrame(odd, SCHEMA), str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, odd))
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b") + " more"), (2, text("a") + " more"), (1, text("c")), (1, text("c")), (3, text("d")), (3, text("b")), (4, "few words"), (4, "other words"), (5, "few words"), (6, None), (6, ""), (None, text("a"))]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], SCHEMA)
+    got = sorted((r.doc_id or 0, r.text or "", r.text is None) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    kept = [g for g in got if g[1].startswith("b")]
+    assert len(kept) == 1 and kept[0][0] == 1
+    want = [(1, text("a")), (1, text("c")), (3, text("d")), (4, "few words"), (4, "other words"), (6, None), (6, ""), (None, text("a"))]
+    assert [g for g in got if g not in kept] == sorted((i or 0, x or "", x is None) for i, x in want)
