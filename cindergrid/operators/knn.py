@@ -9,21 +9,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float | None = None) -> DataFrame:
+def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(source, target, dist_m): each cell's min(k, n - 1) nearest others (k with itself) of cells (cell_id, x, y); ties by target id.
 
     Cells meet the 3 x 3 buckets around their own. A neighbour list is final when its k-th distance is below the bucket width; cells
-    without one try again with buckets twice as wide, until one bucket covers the extent. Cells with null coordinates take no part.
+    without one try again with buckets twice as wide, until one bucket covers the extent. Cells with null coordinates take no part. queries: the sources, where these aren't the cells; a
+    source that is a cell is its own neighbour then.
     """
-    cells = cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"]).persist()
-    n, x0, x1, y0, y1 = cells.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    placed = lambda df: df.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"]).persist()
+    cells = placed(cells)
+    asked = cells if queries is None else placed(queries)
+    include_self = include_self or queries is not None
+    n = cells.count()
+    x0, x1, y0, y1 = cells.union(asked).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n:
         return cells.select(F.col("cell_id").alias("source"), F.col("cell_id").alias("target"), F.lit(0.0).alias("dist_m"))
     extent = max(x1 - x0, y1 - y0, 1e-9)
     width = width or max(math.sqrt(max((x1 - x0) * (y1 - y0), extent * extent / n) * (k + 1) / n), extent / 1e6)
     wanted = min(k, n if include_self else n - 1)
     bucket = lambda c, low: F.floor((F.col(c) - low) / width).cast("long")
-    todo, done = cells, None
+    todo, done = asked, None
     while True:
         steps = F.array(*map(F.lit, (-1, 0, 1)))
         own = todo.select(F.col("cell_id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), bucket("x", x0).alias("bx"), bucket("y", y0).alias("by"))
@@ -42,7 +47,7 @@ def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float
         done = final if done is None else done.union(final)
         if width > extent:
             return done
-        todo = cells.join(done.select(F.col("source").alias("cell_id")).distinct(), "cell_id", "left_anti").persist()
+        todo = asked.join(done.select(F.col("source").alias("cell_id")).distinct(), "cell_id", "left_anti").persist()
         if wanted < 1 or todo.isEmpty():
             return done
         width *= 2
@@ -56,10 +61,7 @@ def knn_impute(static: DataFrame, centroids: DataFrame, k: int, numeric: list[st
     places = centroids.select("cell_id", "x", "y")
     known = static.select("cell_id").distinct()
     wanted = known if panel_cells is None or not keep_new_cells else known.union(panel_cells.select("cell_id")).distinct()
-    cells = places.join(wanted, "cell_id")
-    pairs = knn_pairs(cells, k + (0 if wanted is known else 8), include_self=True)
-    pairs = pairs.join(known.withColumnRenamed("cell_id", "target"), "target", "left_semi")
-    pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("dist_m", "target"))).where(F.col("r") <= k)
+    pairs = knn_pairs(places.join(known, "cell_id"), k, include_self=True, queries=None if wanted is known else places.join(wanted, "cell_id"))
     values = pairs.join(static.select(F.col("cell_id").alias("target"), *numeric, *categorical), "target")
     rule = values.groupBy(F.col("source").alias("cell_id")).agg(*(F.avg(c).alias(f"{c}__k") for c in numeric), *(F.mode(c, True).alias(f"{c}__k") for c in categorical))
     means = static.agg(*(F.avg(c).alias(f"{c}__m") for c in numeric)).first() if numeric else {}

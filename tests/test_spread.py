@@ -83,6 +83,14 @@ def test_knn_against_brute_force(spark):
         assert [t for _, t in sorted(got[c])] == [t for _, t in want]
 
 
+def test_impute_in_a_gap(spark):
+    # thirty new cells lie nearer to each other than to the three static ones
+    places = spark.createDataFrame([(f"n{i}", float(i), 0.0) for i in range(30)] + [("a", 100.0, 0.0), ("b", 101.0, 0.0), ("c", 500.0, 0.0)], "cell_id string, x double, y double")
+    static = spark.createDataFrame([("a", 1.0, "u"), ("b", 3.0, "u"), ("c", 90.0, "v")], "cell_id string, e double, c string")
+    got = {r.cell_id: (r.e, r.c) for r in knn.knn_impute(static, places, 2, ["e"], ["c"], places, True).collect()}
+    assert got == {f"n{i}": (2.0, "u") for i in range(30)} | {"a": (1.0, "u"), "b": (3.0, "u"), "c": (90.0, "v")}
+
+
 def test_label_and_trend(spark):
     p = spark.createDataFrame([("a", 10, 1.0, True), ("a", 11, 3.0, True), ("a", 12, 5.0, True), ("b", 36, 1.0, True), ("b", 37, 1.0, True)], "cell_id string, epoch_hr long, frp_sum double, fire_any boolean")
     assert [r.frp_src_trend for r in edges.frp_trend(p, 6).where("cell_id = 'a'").orderBy("epoch_hr").collect()] == [0.0, 0.0, 2.0]
