@@ -13,9 +13,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir (a local temporary folder only where that is unset)."""
+    """A new folder name below spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='cindergrid-')}"
     return f"{root.rstrip('/')}/cg-{uuid.uuid4().hex}"
 
@@ -24,7 +26,29 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read again, which cuts its lineage."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    from pyarrow import fs
+
+    for df in tables:
+        store, path = fs.FileSystem.from_uri(df.stored)
+        store.delete_dir(path)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with the facts of their key; facts has a row for each key, with n, the number of rows that have it, of total.
+
+    A key with more than a thousandth of the rows would fill one task: the facts of these, a thousand at most, are broadcast.
+    """
+    often = F.col("n") * 1000 > total
+    few = F.broadcast(facts.where(often))
+    many = rows.join(F.broadcast(facts.where(often).select(key)), key, "left_anti").join(facts.where(~often), key)
+    return rows.join(few, key).drop("n").unionByName(many.drop("n"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,20 +68,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the undirected edges (u, v): label is the smallest node reachable.
 
     Alternates large-star and small-star steps; each is a minimum per node and an equi-join, so no
-    neighbourhood is collected, and each round's edges are written to the shared folder.
+    neighbourhood is collected, and each round's edges are written to the shared folder. Ends when a round
+    changes no edge. The joins' rows are two numbers wide; a hub's partition is split by the adaptive skew join.
     """
     stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    n = stars.count()
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        stars = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = stars.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()
-        if now == seen:
+        last, stars = stars, written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
+        same = (now := stars.count()) == n and stars.join(last, ["u", "v"], "left_anti").isEmpty()
+        discard(last)
+        n = now
+        if same:
             break
-        seen = now
     nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.union(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -40,11 +41,12 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_kneser_ney(spark, odd, order):
-    docs = spark.createDataFrame(odd, SCHEMA)
+@pytest.mark.parametrize("order,sizes", [(2, {}), (3, {}), (2, {"shard_tokens": 500, "least_shards": 3}), (3, {"shard_tokens": 500, "least_shards": 3}), (3, {"shard_tokens": 40, "least_shards": 2})])
+def test_kneser_ney(spark, odd, order, sizes):
+    """Against dictionaries; small shards make words and pairs hot."""
+    docs = spark.createDataFrame(odd, SCHEMA).withColumns({"score": F.lit("clash"), "k0": F.lit(1), "row": F.lit(2)})
     learn = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
-    got = kneser_ney.perplexity_table(docs, learn, order=order).collect()
+    got = kneser_ney.perplexity_table(docs, learn, order=order, **sizes).collect()
     lines = [split(r[1]) for r in odd if (r[0] or 0) % 2 == 0]
     counts = {order: collections.Counter(tuple(s[i : i + order]) for w in lines for s in [["<s>"] * (order - 1) + w + ["</s>"]] for i in range(len(w) + 1))}
     for n in range(order - 1, 0, -1):
@@ -52,29 +54,40 @@ def test_kneser_ney(spark, odd, order):
         for g, c in counts[n + 1].items():
             counts[n][g[1:]] += c if g[1] == "<s>" else 1
     cut = {n: kneser_ney.discount([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for n, c in counts.items()}
-    types = len({w for x in lines for w in x} | {"</s>"})
-
+    single = collections.Counter(w for x in lines for w in [*x, "</s>"])
+    types, total = len(single), sum(single.values())
+    after = collections.defaultdict(list)
+    for n, c in counts.items():
+        for g, k in c.items():
+            after[g[:-1]].append(k)
+
+    @functools.cache
     def p(g):
         n = len(g)
         low = p(g[1:]) if n > 1 else 1 / (types + 1)
-        own = [(w, c) for w, c in counts[n].items() if w[:-1] == g[:-1]]
+        own = after.get(g[:-1])
         if not own:
             return low
         d = (0, *cut[n])
-        total = sum(c for _, c in own)
         c = counts[n].get(g, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(c, 3)] for _, c in own) / total * low
+        return (c - d[min(c, 3)]) / sum(own) + sum(d[min(c, 3)] for c in own) / sum(own) * low
 
-    want = {}
-    for r in odd[20:]:
-        if len(r[1] or "") < 1000:
-            s = ["<s>"] * (order - 1) + split(r[1]) + ["</s>"]
-            want[r[0]] = sum(math.log10(p(tuple(s[i : i + order]))) for i in range(len(s) - order + 1))
-    for r in got:
-        if r.doc_id in want:
-            assert abs(r.score - want[r.doc_id]) < 1e-6
+    want = []
+    for r in odd:
+        w = [*split(r[1]), "</s>"]
+        s = ["<s>"] * (order - 1) + w
+        want.append((r[0], len(w), sum(x in single for x in w), total, sum(math.log10((single[x] + 0.5) / (total + 0.5 * (types + 1))) for x in w), sum(math.log10(p(tuple(s[i : i + order]))) for i in range(len(w)))))
+    key = lambda r: (r[0] or -1, *r[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:4] == b[:4] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[4:], b[4:]))
+
+
+def test_kneser_ney_without_rows(spark, odd):
+    docs = spark.createDataFrame(odd, SCHEMA)
     none = kneser_ney.perplexity_table(docs, F.lit(False)).first()
     assert none.train_tokens == 0 and math.isfinite(none.score)
+    assert kneser_ney.perplexity_table(docs.limit(0), F.lit(True)).count() == 0
 
 
 def test_lm_score_uses_trigrams(spark, tmp_path):
@@ -87,13 +100,24 @@ def test_lm_score_uses_trigrams(spark, tmp_path):
     assert seen.held_out and other.held_out and seen.score - other.score > 0.5
 
 
-def test_packed_grams_come_back():
+def test_packed_columns_come_back():
     rng = np.random.default_rng(1)
-    for width, n in ((1, 5), (2, 300), (3, 70000), (3, 0)):
-        grams, stats = rng.integers(0, 2**63, (n, width)).astype(np.uint64), [rng.integers(1, top, n) for top in (2, 300, 1 << 40)]
-        back, values = kneser_ney.grams_unpacked(*kneser_ney.grams_packed(grams, stats), width, 3)
-        row = lambda g, s: sorted(map(tuple, np.c_[g, np.array(s).T.astype(np.uint64)].tolist()))
-        assert row(grams, stats) == row(back, values)
+    for n in (0, 1, 300, 70000):
+        columns = [rng.integers(0, top, n) for top in (1, 2, 300, 1 << 22, 1 << 62)] + [rng.integers(0, 2**64 - 1, n, dtype=np.uint64), rng.random(n)]
+        back = kneser_ney.unpack(kneser_ney.pack(*columns), len(columns))
+        assert all((a.view(np.int64) == b).all() for a, b in zip(columns, back))
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 40_000])
+def test_hash_tables(n):
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64))
+    count = rng.integers(1, 4, len(key))
+    asked = np.r_[key, rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64)]
+    assert (kneser_ney.counts_in(kneser_ney.count_table(key, count), asked) == np.r_[count, np.zeros(1000)]).all()
+    sums = np.stack([count + 1, count, count - 1, count * 300])
+    sums[:, ::2] = [[1], [1], [0], [0]]
+    assert (kneser_ney.sums_in(kneser_ney.sums_table(key, sums), asked) == np.c_[sums, np.zeros((4, 1000))]).all()
 
 
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 80)])
