@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.llm import bytewords as bw
-from cindergrid.llm.common import connected_components, written
+from cindergrid.llm.common import connected_components, discard, with_facts, written
 
-BUCKETS, SLICES = 1 << 20, 64
+SLICES = 64
+#: Bits of the document counts' buckets, one for each KB of text between these: 64 MB of counts at most.
+LEAST_BITS, MOST_BITS = 20, 24
 BLOCK_SETS, BLOCK_GRAMS, LEAST_GRAMS = 512, 1_000_000, 4096
 BROADCAST_IDS = 200_000
 SHORT_LIST, PARTS = 32, 64
@@ -75,15 +77,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hashed = texts.withColumn("text_key", F.xxhash64("text"))
     limit = largest_boundary(percent)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size >> 10).bit_length()))
+    bucket = lambda gram: (gram >> np.uint64(64 - bits)).astype(np.int64)
 
     def classes(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         sizes = np.zeros((limit + 1, 2), np.int64)
         seen = False
         for batch in batches:
             for lo, hi, gram, at, total in set_slices(batch.column(1), n):
                 seen = True
-                counts += np.bincount((gram >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+                counts += np.bincount(bucket(gram), minlength=1 << bits)
                 size = np.diff(at)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(set_id(total, size)), batch.column(2).slice(lo, hi - lo), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "size", "cid", "text_key", "slice", "counts"])
         if seen:
@@ -96,10 +101,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
 
     both = written(hashed.mapInArrow(classes, "doc_id long, size long, cid long, text_key long, slice int, counts binary"))
     members = both.where("slice is null").select("doc_id", "size", "cid", "text_key")
-    # BUCKETS counts of 8 bytes, whatever the input
-    counts = np.zeros(BUCKETS, np.int64)
+    # at most 2**MOST_BITS counts, whatever the input
+    counts = np.zeros(1 << bits, np.int64)
     for r in both.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        counts[r.slice * (BUCKETS // SLICES) : (r.slice + 1) * (BUCKETS // SLICES)] = np.frombuffer(r.counts, np.int64)
+        each = (1 << bits) // SLICES
+        counts[r.slice * each : (r.slice + 1) * each] = np.frombuffer(r.counts, np.int64)
     hot_at = max(1024, int(8 * counts.mean()))
     rank = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
     groups = members.where("size > 0 and doc_id is not null").groupBy("cid", "size").agg(F.min("doc_id").alias("rep"))
@@ -128,7 +134,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
                 keep = size[owner] >= boundary
                 gram, owner = gram[keep], owner[keep]
                 if len(gram):
-                    often = table[(gram >> np.uint64(44)).astype(np.int64)]
+                    often = table[bucket(gram)]
                     order = np.lexsort((gram, often, owner))
                     gram, owner, often = gram[order], owner[order], often[order]
                     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -156,8 +162,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     links = small.union(block_links(texts, groups, label, n, percent))
     reach = connected_components(links)
     tops = groups.join(reach.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "size", "rep", F.coalesce("label", "cid").alias("label"))
-    least = tops.groupBy("label").agg(F.min("rep").alias("component_id"))
-    tops = tops.join(least, "label").select("cid", "size", "component_id", "label")
+    tops = written(tops)
+    least = tops.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    tops = with_facts(tops, least, "label", tops.count()).select("cid", "size", "component_id", "label")
     found = members.join(tops, ["cid", "size"], "left")
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *(["text_key", "label"] if keyed else []))
 
@@ -279,15 +286,16 @@ def block_links(texts: DataFrame, groups: DataFrame, label: DataFrame, n: int, p
     own = label.join(groups.withColumnsRenamed({"cid": "node"}), "node").select("node", "label", "size", "rep", F.floor(F.log(F.col("size").cast("double")) / -F.log(F.lit(ratio))).cast("int").alias("class"))
     own = written(own)
     # a block holds a partition's fair share of all n-grams at most, so that one large component is dealt to many tasks
-    total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, count = own.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     grams = min(BLOCK_GRAMS, max(LEAST_GRAMS, total // int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # a component that fits into one block is one
-    whole = own.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("size") <= grams)).alias("whole"))
-    own = own.join(whole, "label").withColumn("class", F.when(F.col("whole"), 0).otherwise(F.col("class"))).drop("whole")
-    per = own.groupBy("label", "class").agg(F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / grams))).cast("int").alias("blocks"))
-    near = per.select("label", F.explode(F.array(F.col("class"), F.col("class") - 1, F.col("class") + 1)).alias("class"), (F.col("class")).alias("of"), "blocks")
-    around = near.groupBy("label", "class").agg(*(F.max(F.when(F.col("of") == F.col("class") + d, F.col("blocks"))).alias(a) for d, a in ((0, "same"), (-1, "below"), (1, "above"))))
-    own = own.join(around.where("same is not null"), ["label", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("same")).cast("int"))
+    whole = own.groupBy("label").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("size") <= grams)).alias("whole"), F.count("*").alias("n"))
+    own = with_facts(own, whole, "label", count).withColumn("class", F.when(F.col("whole"), 0).otherwise(F.col("class"))).drop("whole")
+    own = own.withColumn("at", F.struct("label", "class"))
+    per = own.groupBy("at").agg(F.count("*").alias("n"), F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / grams))).cast("int").alias("blocks"))
+    near = per.select("at.label", "at.class", "blocks", "n").select("label", F.explode(F.array(F.col("class"), F.col("class") - 1, F.col("class") + 1)).alias("class"), (F.col("class")).alias("of"), "blocks", "n")
+    around = near.groupBy(F.struct("label", "class").alias("at")).agg(F.max(F.when(F.col("of") == F.col("class"), F.col("n"))).alias("n"), *(F.max(F.when(F.col("of") == F.col("class") + d, F.col("blocks"))).alias(a) for d, a in ((0, "same"), (-1, "below"), (1, "above"))))
+    own = with_facts(own, around.where("same is not null"), "at", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("same")).cast("int"))
     need = written(own.select("node", "label", "size", "rep", "class", "block", "same", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above")))
 
     placed = [c for c in need.columns if c != "rep"]
