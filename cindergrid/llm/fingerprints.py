@@ -87,10 +87,11 @@ def with_next(df: DataFrame, order: str, carried: list[str], rows_per_bucket: in
     """df with __next, a struct of the carried columns of the next row in ascending order; after the last comes the first.
 
     Rows are cut into buckets at quantiles of order, of about rows_per_bucket rows (more only beyond `buckets` of them); the
-    first row of each bucket also goes to the end of the bucket before, so that each bucket finds its pairs alone. A null
-    counts as the smallest; equal keys follow each other by the carried columns.
+    first row of each bucket also goes to the end of the bucket before, so that each bucket finds its pairs alone. Beyond
+    `buckets` a bucket's rows are sorted on disk. Nulls come first, by the hash of the carried columns, so that many of them
+    make many buckets; equal keys follow each other by the carried columns.
     """
-    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
+    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(*carried), 4))
     n = df.select(order).count()
     parts = min(max(1, n // rows_per_bucket), buckets)
     cuts = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("q"), F.min("k").alias("low")).first()

@@ -5,10 +5,12 @@ the window, each keeps its greatest response, and a softmax over the learned lan
 averages its windows' probabilities by their length. Filters read bytes as one-hot vectors, so that a filter's response
 at a position is a sum of table entries; for scoring, entries of two neighbouring bytes are added up in advance.
 
-The network is fitted on the driver on a bounded sample: of the labelled rows about max_docs texts, taken by a hash of id
-and text, and of each at most four pieces of PIECE characters at places given by that hash. Rows without language or
+The network is fitted on the driver on a bounded sample of the labelled rows: of each language about max_docs divided by the
+number of languages, or all where it has fewer, taken by a hash of id and text, and of each text at most `pieces` pieces of
+PIECE characters at places given by that hash; max_docs and pieces are the bound. Rows without language or
 without a letter are not learned from. A null text, or one without any letter, is 'und' with score 0; so is every text
-when nothing could be learned.
+when nothing could be learned. Ties of probability go to the first language in order. Repeated rows get equal predictions. Other
+columns pass through; columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -131,16 +133,19 @@ class ByteNet:
 FILTERS_AT = [(w, f) for w in WIDTHS for f in range(FILTERS)]
 
 
-def fit(docs: DataFrame, learn: Column, *, max_docs: int = 3000, text: str = "text", lang: str = "lang") -> ByteNet | None:
+def fit(docs: DataFrame, learn: Column, *, max_docs: int = 3000, pieces: int = 4, text: str = "text", lang: str = "lang") -> ByteNet | None:
     """docs (doc_id, text, lang); learn: condition on the rows that may be learned from."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64("doc_id", text).alias("h"))
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
+    # a row for each language; the classes of the network, tens or hundreds
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(1, max_docs // max(1, len(sizes)))
+    if any(n > each for n in sizes.values()):
+        least = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 20) * min(1.0, each / n)))))
+        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(least, F.col("lang")))
     length = F.length("text")
-    places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.lit(1), length - PIECE)).cast("int") for i in range(4))))
+    places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.lit(1), length - PIECE)).cast("int") for i in range(pieces))))
     found = rows.select("lang", F.explode(places).alias("at"), "text").select("lang", F.substring("text", F.col("at") + 1, F.lit(PIECE)).alias("piece"))
-    # about max_docs * 4 pieces of PIECE characters at most
+    # about max_docs * pieces pieces of PIECE characters at most
     found = sorted((r.piece.encode(), r.lang) for r in found.collect())
     return ByteNet.train([p for p, _ in found], [x for _, x in found])
 

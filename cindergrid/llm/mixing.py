@@ -4,6 +4,7 @@ Sources in code-point order, null last, take the weights of a repeating cycle. T
 no target passes `cap` times its source's words, and what it would have more is shared again by weight among the others.
 With the sources sorted by cap / weight this is one level: target = min(cap * words, level * weight).
 
+The sources' table, a row for each source, is worked on in one task: fit for tens of millions of sources, not for more.
 Texts are only counted and hashed; what is joined, sorted and summed are narrow rows, written once to the shared folder.
 
 Within a source documents follow ascending Efraimidis-Spirakis keys, -ln(u) / quality, u a hash of the seed, id and text.
