@@ -6,27 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindergrid.llm import language_id, mixing, ngram_join, piece_tokens, queries, toxicity
-from cindergrid.llm.common import crc_mod, table, written
+from cindergrid.llm.common import crc_mod, discard, table, written
 
+#: A text has no language where the network believes in its best one less than so many times an even share.
+LEAST_SURE = 1.5
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter. The others keep their columns.
+    """Drops documents of no language and sets lang of the others to the predicted one.
 
-    Where no language could be learned, or a single one, there is nothing to tell apart, and the letters alone decide.
+    No language: null texts, texts without a letter, and texts whose best language is hardly likelier to the network than any (LEAST_SURE).
+    Where no language could be learned, or a single one, there is nothing to tell apart: the letters alone decide and
+    lang stays. Null ids, repeated rows and other columns make no difference; an empty table gives none.
     """
     net = language_id.fit(docs.select("doc_id", "text", "lang"), crc_mod(F.col("doc_id"), 4) != 2)
     if net is None or len(net.languages) < 2:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*DOCUMENT)
     found = language_id.predict(docs.select(*DOCUMENT, F.col("text").alias("__t")), net, "__t")
-    return found.where(F.col("lang_pred") != language_id.UND).select(*DOCUMENT)
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SURE / len(net.languages))).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored toxic (0.5 or more) by a model fitted on the labelled ones among them.
 
-    A model that scores all texts alike, as without toxic or without harmless labelled texts, drops none.
+    A model that scores all texts alike, as without toxic or without harmless labelled texts, drops none. Null and empty
+    texts have no toxic passage and stay; null ids are scored like others; repeated rows share their fate.
     """
     model = toxicity.Toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
     if not model.separates:
@@ -53,6 +58,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeats and selects documents so that sources meet their targets; the last one that a source takes stays whole.
 
     Rows without texts are mixed; then each distinct document meets its number of copies, which moves its text once.
+    Documents without words, null texts among them, are never taken; null ids and sources are ids and a source like others;
+    repeated rows add up their copies.
     """
     docs = docs.select(*DOCUMENT)
     same = F.xxhash64(F.col("doc_id").isNull(), *DOCUMENT[1:])
@@ -64,7 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, model: str | None = None) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids) of every document; a null text counts as empty."""
     if model is None:
         import public_tokenizers
 
@@ -79,9 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
