@@ -71,7 +71,7 @@ def wind_align(direction: Column | None, angle: Column) -> Column:
     """Cosine between wind and edge; 0 without wind."""
     if direction is None:
         return F.lit(0.0)
-    return F.coalesce(F.cos(F.radians(F.pmod(direction - angle + 180.0, F.lit(360.0)) - 180.0)), F.lit(0.0))
+    return F.coalesce(F.cos(F.radians(direction - angle)), F.lit(0.0))
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cindergrid.operators.places import hash_places
+from cindergrid.sources.tables import staged
+
 
 def time_split(edges: DataFrame, time: str = "time_epoch") -> DataFrame:
-    """edges with split: cuts at the 70th and 85th percentile of distinct times; with ten times or fewer a stratified 80/20 split."""
+    """edges with split: cuts at the 70th and 85th percentile of distinct times.
+
+    Without a time column, with ten times or fewer, or with fewer than 50 rows to train on: a stratified 80/20 split.
+    """
+    if time not in edges.columns:
+        return stratified_split(edges)
     times = edges.select(F.col(time).cast("double").alias("t")).distinct()
     n, cut = times.agg(F.count("t"), F.percentile("t", [0.7, 0.85])).first()
     if n <= 10:
         return stratified_split(edges)
     a, b = map(int, cut)
+    if edges.where(F.col(time) <= a).count() < 50:
+        return stratified_split(edges)
     return edges.withColumn("split", F.when(F.col(time) <= a, "train").when(F.col(time) <= b, "val").otherwise("test"))
 
 
 def stratified_split(edges: DataFrame, share: float = 0.8, seed: int = 42, key: list[str] | None = None) -> DataFrame:
-    """edges with split train or test: a seeded hash of the key decides, by label, for about `share` of each label's rows."""
-    u = F.pmod(F.xxhash64(*(key or edges.columns), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return edges.withColumn("split", F.when(u < share, "train").otherwise("test"))
+    """edges with split: floor(share * rows) of each label's rows are train, the rest test, in a seeded order of the key."""
+    key = key or [c for c in ("time_epoch", "source", "target") if c in edges.columns] or edges.columns
+    sizes = edges.groupBy(F.col("label").alias("__label")).agg(F.floor(F.count("*") * share).alias("__train"))
+    rows = hash_places(edges.where("label is not null"), key, seed, ["label"]).join(F.broadcast(sizes), F.col("label") == F.col("__label"))
+    return rows.withColumn("split", F.when(F.col("place") <= F.col("__train"), "train").otherwise("test")).select(*edges.columns, "split")
 
 
 def class_weight(edges: DataFrame) -> DataFrame:
@@ -58,10 +70,10 @@ def top_features(model, features: list[str], n: int = 20) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def prefix_counts(scored: DataFrame, parts: int = 64) -> DataFrame:
-    """(score, tp, n): positives and rows at or above each distinct score; ranges are summed first, so no window spans all scores."""
+def prefix_counts(scored: DataFrame) -> DataFrame:
+    """(score, tp, n): positives and rows at or above each distinct score; ranges of about as many scores are summed first, so no window spans all."""
     by = scored.groupBy(F.col("pred_proba").alias("score")).agg(F.sum("label").alias("p"), F.count("*").alias("c"))
-    by = by.withColumn("part", F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * parts))
+    by = staged(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
     total = by.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("c").alias("cc"))
     above = W.partitionBy(F.lit(0)).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
     total = total.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("cc").over(above), F.lit(0)).alias("c0"))
@@ -116,7 +128,8 @@ def choose_time(burning: DataFrame, wanted: int | None = None) -> DataFrame:
     hours = burning.select("epoch_hr").distinct()
     if wanted is not None:
         return hours.agg(F.min_by("epoch_hr", F.struct(F.abs(F.col("epoch_hr") - wanted), "epoch_hr")).alias("epoch_hr"))
-    return hours.agg(F.get(F.sort_array(F.collect_list("epoch_hr")), (F.count("*") / 2).cast("int")).alias("epoch_hr"))
+    placed = hours.withColumns({"at": F.row_number().over(W.partitionBy(F.lit(0)).orderBy("epoch_hr")) - 1, "n": F.count("*").over(W.partitionBy(F.lit(0)))})
+    return placed.where(F.col("at") == F.floor(F.col("n") / 2)).select("epoch_hr")
 
 
 def actual_new_burns(panel: DataFrame, hour: int, horizon: int = 24, exclude_current: bool = False) -> DataFrame:
@@ -130,3 +143,18 @@ def map_predictions(grid: DataFrame, scored: DataFrame, threshold: float = 0.5)
     """Every cell with its greatest predicted probability, 0 without one, and whether it reaches the threshold."""
     top = max_target_prob(scored).withColumnRenamed("target", "cell_id")
     return grid.select("cell_id").join(top, "cell_id", "left").withColumn("pred_proba", F.coalesce("pred_proba", F.lit(0.0))).withColumn("above", F.col("pred_proba") >= threshold)
+
+
+def predicted_edges(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Scored edges at or over the threshold, with both ends."""
+    return edges.where(F.col("pred_proba") >= threshold).select("time_epoch", "source", "target", "sx", "sy", "tx", "ty", "pred_proba")
+
+
+def actual_edges(edges: DataFrame) -> DataFrame:
+    """Edges along which fire did spread, with both ends."""
+    return edges.where("label = 1").select("time_epoch", "source", "target", "sx", "sy", "tx", "ty")
+
+
+def burning_sources(burning: DataFrame, centroids: DataFrame, hour: int) -> DataFrame:
+    """(cell_id, x, y) of the cells that burn at the hour."""
+    return burning.where(F.col("epoch_hr") == hour).select("cell_id").distinct().join(centroids.select("cell_id", "x", "y"), "cell_id", "left")

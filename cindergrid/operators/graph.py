@@ -13,6 +13,11 @@ def node_coords(nodes: DataFrame, centroids: DataFrame) -> DataFrame:
     return nodes.select("cell_id").distinct().join(centroids.select("cell_id", "x", "y"), "cell_id", "left")
 
 
+def missing_nodes(nodes: DataFrame) -> int:
+    """How many nodes lack a coordinate."""
+    return nodes.where("x is null or y is null").count()
+
+
 def mean_wind(panel: DataFrame, u: str = "u10_mean", v: str = "v10_mean") -> DataFrame:
     """(cell_id, wind_deg): direction of the mean wind, null if either mean is."""
     return panel.groupBy("cell_id").agg(F.avg(u).alias("u"), F.avg(v).alias("v")).select("cell_id", angle_deg(F.col("v"), F.col("u")).alias("wind_deg"))

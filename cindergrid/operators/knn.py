@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cindergrid.sources.tables import staged
 
-def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float | None = None, queries: DataFrame | None = None) -> DataFrame:
+
+def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float | None = None, queries: DataFrame | None = None, on_missing: str = "skip") -> DataFrame:
     """(source, target, dist_m): each cell's min(k, n - 1) nearest others (k with itself) of cells (cell_id, x, y); ties by target id.
 
     Cells meet the 3 x 3 buckets around their own. A neighbour list is final when its k-th distance is below the bucket width; cells
-    without one try again with buckets twice as wide, until one bucket covers the extent. Cells with null coordinates take no part. queries: the sources, where these aren't the cells; a
+    without one try again with buckets twice as wide, until one bucket covers the extent. Cells with null coordinates take no part or,
+    with on_missing="error", are an error. queries: the sources, where these aren't the cells; a
     source that is a cell is its own neighbour then.
     """
-    placed = lambda df: df.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"]).persist()
+    if on_missing == "error" and (lost := cells.where("x is null or y is null").first()):
+        raise ValueError(f"no coordinates for {lost.cell_id}")
+    placed = lambda df: staged(df.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"]))
     cells = placed(cells)
     asked = cells if queries is None else placed(queries)
     include_self = include_self or queries is not None
@@ -43,11 +48,12 @@ def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float
         else:
             sure = F.max(F.when(F.col("r") == wanted, F.col("dist_m"))).over(W.partitionBy("source"))
             final = near.withColumn("last", sure).where(F.col("last") < width)
-        final = final.select("source", "target", "dist_m").persist()
+        final = final.select("source", "target", "dist_m")
+        final = staged(final)
         done = final if done is None else done.union(final)
         if width > extent:
             return done
-        todo = asked.join(done.select(F.col("source").alias("cell_id")).distinct(), "cell_id", "left_anti").persist()
+        todo = asked.join(done.select(F.col("source").alias("cell_id")).distinct(), "cell_id", "left_anti")
         if wanted < 1 or todo.isEmpty():
             return done
         width *= 2

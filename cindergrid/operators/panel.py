@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cindergrid.functions.expressions import haversine_m
+from cindergrid.operators.places import numbered
+from cindergrid.sources.tables import NUMERIC
 
 KEYS = ["cell_id", "datetime_bin"]
 WEATHER_MARKS = ("t2m", "wind_speed", "u10", "v10", "wind_dir_deg")
 STATION_COLUMNS = ("t2m", "u10", "v10", "air_temperature", "temperature", "t2m_c")
-NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+#: Which statistics the weather table has of each column.
+WEATHER_STATISTICS = {"t2m": ("mean", "max", "std"), "wind_speed": ("mean", "max", "std"), "u10": ("mean",), "v10": ("mean",), "wind_dir_deg": ("mean",)}
+STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[str] = (), values: dict[str, list[str]] | None = None) -> DataFrame:
@@ -20,8 +24,7 @@ def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[st
     A share's column for each of the given values, else for each value there is; category_shares fits columns of many values.
     """
     points = points.where("cell_id is not null")
-    named = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    aggs = [f(c).alias(f"{c}_{n}") for c in numeric for n, f in named.items()]
+    aggs = [f(c).alias(f"{c}_{n}") for c in numeric for n, f in STATISTICS.items()]
     for c in categorical:
         aggs.append(F.mode(c, True).alias(f"{c}_mode"))
         known = (values or {}).get(c)
@@ -39,10 +42,7 @@ def category_shares(points: DataFrame, column: str) -> DataFrame:
 
 
 def aggregate_weather(points: DataFrame) -> DataFrame:
-    aggs = []
-    for c, kinds in (("t2m", "mean max std"), ("wind_speed", "mean max std"), ("u10", "mean"), ("v10", "mean"), ("wind_dir_deg", "mean")):
-        if c in points.columns:
-            aggs += [{"mean": F.avg, "max": F.max, "std": F.stddev_samp}[k](c).alias(f"{c}_{k}") for k in kinds.split()]
+    aggs = [STATISTICS[n](c).alias(f"{c}_{n}") for c, names in WEATHER_STATISTICS.items() if c in points.columns for n in names]
     return points.dropna(subset=KEYS).groupBy(*KEYS).agg(*aggs, F.count("*").alias("_obs_count_sum"))
 
 
@@ -70,9 +70,12 @@ def union_keys(*tables: DataFrame) -> DataFrame:
 
 
 def fill_weather(panel: DataFrame) -> DataFrame:
-    """Weather columns carried forward, then backward, per cell in time order: one sort for both directions."""
+    """Weather columns carried forward, then backward, per cell in time order: one sort for both directions.
+
+    Only leading nulls are left for the way back; they take the cell's first value, which one pass over the cell finds.
+    """
     back = W.partitionBy("cell_id").orderBy("datetime_bin").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("cell_id").orderBy("datetime_bin").rowsBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy("cell_id").orderBy("datetime_bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     cols = [c for c in panel.columns if any(m in c for m in WEATHER_MARKS)]
     return panel.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in cols})
 
@@ -98,18 +101,21 @@ def densify_panel(panel: DataFrame, minutes: int, fill_fire: bool = False) -> Da
 def distinct_stations(weather: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(station_idx, lat, lon) of the distinct places, numbered in order; one row for each station."""
     places = weather.select(F.col(lat).alias("lat"), F.col(lon).alias("lon")).dropna().distinct()
-    return places.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("lat", "lon")) - 1).alias("station_idx"), "lat", "lon")
+    return numbered(places, ["lat", "lon"], "station_idx").select("station_idx", "lat", "lon")
 
 
-def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0) -> DataFrame:
+def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0, turned: DataFrame | None = None) -> DataFrame:
     """(cell_id, station_idx, dist_m) of cells (cell_id, lon, lat); ties go to the smaller (lat, lon).
 
     Cells and stations meet on tiles of `step` degrees: stations are copied to the eight tiles around their own. A cell whose nearest
-    station there lies within what one tile guarantees is done; the rest try again on tiles eight times as wide, at last on one.
+    station there lies within what one tile guarantees is done; the rest try again on tiles eight times as wide, at last on one. Stations
+    are also copied 360 degrees to either side, so that the seam at 180 degrees parts nothing.
     """
+    if turned is None:
+        turned = stations.withColumn("lon_at", F.explode(F.array(F.col("lon") - 360, F.col("lon") + F.lit(0.0), F.col("lon") + 360)))
     tile = lambda c, d: F.floor(F.col(c) / step).cast("long") + d
-    near = stations.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select("station_idx", F.col("lat").alias("slat"), F.col("lon").alias("slon"), tile("lat", F.col("dy")).alias("ty"), tile("lon", F.col("dx")).alias("tx"))
+    near = turned.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    near = near.select("station_idx", F.col("lat").alias("slat"), F.col("lon").alias("slon"), tile("lat", F.col("dy")).alias("ty"), tile("lon_at", F.col("dx")).alias("tx"))
     own = cells.select("cell_id", "lat", "lon", tile("lat", F.lit(0)).alias("ty"), tile("lon", F.lit(0)).alias("tx"))
     pick = lambda df: df.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).groupBy("cell_id").agg(F.min(F.struct("d", "slat", "slon", "station_idx")).alias("best"), F.max(F.abs("lat")).alias("at"))
     found = pick(own.join(near, ["ty", "tx"]))
@@ -118,7 +124,7 @@ def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0) ->
     left = cells.join(done, "cell_id", "left_anti")
     if step >= 400 or left.isEmpty():
         return done
-    return done.union(nearest_station(left, stations, step * 8))
+    return done.union(nearest_station(left, stations, step * 8, turned))
 
 
 def aggregate_station_weather(weather: DataFrame, stations: DataFrame) -> DataFrame:

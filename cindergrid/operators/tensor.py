@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cindergrid.operators.places import numbered
+
 
 def filter_time_range(panel: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
     if low is not None:
@@ -13,31 +15,32 @@ def filter_time_range(panel: DataFrame, low: int | None = None, high: int | None
     return panel if high is None else panel.where(F.col("epoch_hr") <= high)
 
 
-def tensor_axis(panel: DataFrame, step: int = 1, low: int | None = None, high: int | None = None) -> DataFrame:
-    """(cell_id, t_idx, epoch_hr) of every panel cell and every step hours between the panel's ends (or those given)."""
+def tensor_axis(panel: DataFrame, step: int = 1, low: int | None = None, high: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(cell_id, t_idx, epoch_hr) of every panel cell, or every one of nodes, and every step hours between the panel's ends (or those given)."""
     a, b = panel.agg(F.min("epoch_hr"), F.max("epoch_hr")).first()
     if a is None:
         return panel.select("cell_id", F.lit(0).alias("t_idx"), "epoch_hr")
     a, b = a if low is None else low, b if high is None else high
-    hours = F.sequence(F.lit(a), F.lit(b), F.lit(step)) if b >= a else F.array().cast("array<bigint>")
-    return panel.select("cell_id").distinct().select("cell_id", F.posexplode(hours).alias("t_idx", "epoch_hr"))
+    hours = F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(step).cast("long")) if b >= a else F.array().cast("array<bigint>")
+    return (panel if nodes is None else nodes).select("cell_id").distinct().select("cell_id", F.posexplode(hours).alias("t_idx", "epoch_hr"))
 
 
 def node_index(panel: DataFrame) -> DataFrame:
     """(cell_id, node_idx): cells in order, numbered from 0; a row per node."""
-    return panel.select("cell_id").distinct().withColumn("node_idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("cell_id")) - 1)
+    return numbered(panel.select("cell_id").distinct(), ["cell_id"], "node_idx")
 
 
-def build_tensor(panel: DataFrame, features: list[str], horizon: int = 24, step: int = 1, low: int | None = None, high: int | None = None) -> DataFrame:
+def build_tensor(panel: DataFrame, features: list[str], horizon: int = 24, step: int = 1, low: int | None = None, high: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Axis with filled features and y_current, y_future.
 
     An absent slot is 0; a null in a slot that is there takes the slot before (zeros included), leading ones the first value. y_future
     is 1 where the cell doesn't burn and burns within the next `horizon` positions.
     """
     rows = panel.groupBy("cell_id", "epoch_hr").agg(*(F.max(c).alias(c) for c in features), F.max("fire_any").alias("fire_any"))
-    out = tensor_axis(panel, step, low, high).join(rows.withColumn("there", F.lit(True)), ["cell_id", "epoch_hr"], "left")
+    out = tensor_axis(panel, step, low, high, nodes).join(rows.withColumn("there", F.lit(True)), ["cell_id", "epoch_hr"], "left")
     w = W.partitionBy("cell_id").orderBy("t_idx")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # only leading nulls are left after the way forward: they take the node's first value
+    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     out = out.withColumns({c: F.when(F.col("there"), F.col(c)).otherwise(0.0) for c in features})
     out = out.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.lit(0.0)).cast("float") for c in features})
     out = out.withColumn("y_current", F.coalesce(F.col("fire_any").cast("int"), F.lit(0)))
@@ -62,3 +65,17 @@ def tensor_stats(tensor: DataFrame, features: list[str]) -> DataFrame:
     mean = sum(F.avg(c) for c in features) / len(features)
     nulls = sum(F.count_if(F.col(c).isNull()) for c in features)
     return tensor.agg(long[0].alias("x_min"), long[1].alias("x_max"), mean.alias("x_mean"), nulls.alias("x_nulls"), F.sum("y_future").alias("positives"), F.avg("y_future").alias("positive_share"), F.count_distinct("cell_id").alias("nodes"), F.count_distinct("t_idx").alias("times"))
+
+
+def static_stats(static: DataFrame) -> DataFrame:
+    """One row: least, greatest and mean static value, nulls, nodes."""
+    cols = [c for c in static.columns if c != "cell_id"]
+    long = static.select("cell_id", F.explode(F.array(*(F.col(c).cast("double") for c in cols))).alias("v"))
+    return long.agg(F.min("v").alias("static_min"), F.max("v").alias("static_max"), F.avg("v").alias("static_mean"), F.count_if(F.col("v").isNull()).alias("static_nulls"), F.count_distinct("cell_id").alias("static_nodes"))
+
+
+def tensor_checks(tensor: DataFrame, features: list[str], static: DataFrame) -> DataFrame:
+    """tensor_stats and static_stats with same_nodes and full_axis: whether both have as many nodes, and every node all times."""
+    rows = tensor.agg(F.count("*").alias("cells"))
+    both = tensor_stats(tensor, features).crossJoin(static_stats(static)).crossJoin(rows)  # one row each
+    return both.withColumns({"same_nodes": F.col("nodes") == F.col("static_nodes"), "full_axis": F.col("cells") == F.col("nodes") * F.col("times")}).drop("cells")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.expressions import epoch_hours, floor_time_bin, wind_features
 from cindergrid.operators import edges, evaluate, graph, grid, knn, panel, tensor
+from cindergrid.sources import tables
 
 X0, Y0, SIZE, COLUMNS, ROWS = 500000.0, 4000000.0, 1000.0, 40, 1 << 20
 K, HORIZON, LAGS = 8, 24, 6
+TENSOR_FEATURES = ("frp_sum", "t2m_mean", "wind_speed_mean", "u10_mean", "v10_mean")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,12 @@ def fire_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("cell_id", floor_time_bin(F.col("datetime"), 60).alias("datetime_bin"), F.col("value").alias("frp"), (300 + F.col("value") / 10).alias("brightness"))
 
 
+def timed_points(spark: SparkSession, sf_dir: str, fire: bool) -> DataFrame:
+    """Fire or weather points with their time, not yet binned."""
+    p = points(spark, sf_dir).where("event_type = 'error'" if fire else "event_type <> 'error'")
+    return p.select("cell_id", "datetime", F.col("value").alias("frp" if fire else "t2m"))
+
+
 def weather_points(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
     p = points(spark, sf_dir).where("event_type <> 'error'")
     s = F.col("user_id") % 10
@@ -44,8 +52,12 @@ def topo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel.join_panel_sparse(panel.aggregate_weather(weather_points(spark, sf_dir)), panel.aggregate_fire(fire_points(spark, sf_dir)))
-    # read by several steps of every job: kept, and computed again where an executor is lost
-    return p.withColumn("epoch_hr", epoch_hours(F.col("datetime_bin"))).persist()
+    return p.withColumn("epoch_hr", epoch_hours(F.col("datetime_bin")))
+
+
+def panel_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a written stage, for jobs that read it in several steps."""
+    return tables.staged(hourly_panel(spark, sf_dir))
 
 
 def centroids(cells: DataFrame) -> DataFrame:
@@ -54,13 +66,25 @@ def centroids(cells: DataFrame) -> DataFrame:
 
 
 def pairs(p: DataFrame) -> DataFrame:
-    return knn.knn_pairs(centroids(p), K).persist()
+    return knn.knn_pairs(centroids(p), K)
 
 
 def labelled(p: DataFrame) -> DataFrame:
-    """Candidates without burning targets, with neighbourhood, trend and label."""
-    c = edges.neighbor_stats(edges.edge_candidates(p, pairs(p), LAGS))
-    return edges.label_spread(edges.drop_burning_targets(c), edges.filter_burning(p), HORIZON).persist()
+    """Candidates without burning targets, with label."""
+    return edges.label_spread(edges.drop_burning_targets(edges.edge_candidates(p, pairs(p))), edges.filter_burning(p), HORIZON)
+
+
+def examples(p: DataFrame, static: DataFrame) -> DataFrame:
+    """Labelled candidates with trend, neighbourhood, geometry, wind along the edge and both ends' static columns; nulls are 0."""
+    c = edges.neighbor_stats(edges.edge_candidates(p, pairs(p), LAGS, ("wind_dir_deg_mean",)))
+    e = edges.label_spread(edges.drop_burning_targets(c), edges.filter_burning(p), HORIZON)
+    e = edges.edge_geometry(e, centroids(p), "wind_dir_deg_mean_src")
+    return edges.join_static_pair(e, static).drop("wind_dir_deg_mean_src", "seen").na.fill(0).na.fill(False)
+
+
+def static_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terrain numbers by cell."""
+    return panel.aggregate_static(topo_points(spark, sf_dir), ["elevation", "slope"])
 
 
 def scored(p: DataFrame) -> DataFrame:
@@ -71,12 +95,17 @@ def scored(p: DataFrame) -> DataFrame:
 
 
 def spread_graph(p: DataFrame, how: str) -> DataFrame:
-    pr = pairs(p)
+    pr = tables.staged(pairs(p))
     return graph.normalize_adjacency(graph.symmetrize(graph.weighted_edges(pr, graph.median_scale(pr))), how)
 
 
 def spread_tensor(p: DataFrame) -> DataFrame:
-    return tensor.build_tensor(p, ["frp_sum", "t2m_mean"], HORIZON)
+    return tensor.build_tensor(p, list(TENSOR_FEATURES), HORIZON)
+
+
+def wind_graph(p: DataFrame) -> DataFrame:
+    pr, cells = tables.staged(pairs(p)), centroids(p)
+    return graph.weighted_edges(pr, graph.median_scale(pr), graph.mean_wind(p), cells, 0.5)
 
 
 def evaluation(p: DataFrame) -> DataFrame:

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cindergrid.functions.expressions import nan_to_null
+from cindergrid.functions.expressions import nan_to_null, unproject_utm
 
 #: Accepted coordinate column names, in order of preference.
 LON_NAMES, LAT_NAMES = ("lon", "longitude", "long"), ("lat", "latitude")
 LAT_EXACT, LON_EXACT = ("lat", "latitude", "y", "centroid_y"), ("lon", "longitude", "x", "centroid_x")
+#: Columns of examples that are no features, and those that come first among the features.
 LABEL_COLUMNS = ("label", "time_epoch", "sx", "sy", "tx", "ty")
+PREFERRED_FEATURES = ("dist_m", "frp_src", "frp_src_trend", "burning_neighbor_count", "mean_frp_neighbors", "wind_align")
+NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 
 
 def resolve_latlon(columns: list[str]) -> tuple[str, str]:
@@ -42,6 +48,21 @@ def read_points(spark: SparkSession, path: str, schema: T.StructType | str, lon:
     return nan_to_null(df).dropna(subset=names)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='cindergrid-')).rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once however often it is read, and pruned by its readers."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet stage; NaN becomes null. A missing path is an error."""
     return nan_to_null(spark.read.parquet(path))
@@ -57,16 +78,38 @@ def write_panel(df: DataFrame, path: str, time: str = "datetime_bin") -> None:
     write_stage(df.withColumn("day", F.to_date(time)), path, ["day"])
 
 
+def write_grid(grid: DataFrame, path: str, zone: int, north: bool = True) -> None:
+    """The boxes with centroids in metres, and a table of the centroids' longitudes and latitudes."""
+    lon, lat = unproject_utm(F.col("centroid_x"), F.col("centroid_y"), zone, north)
+    write_stage(grid, f"{path}/boxes")
+    write_stage(grid.select("cell_id", lon.alias("lon"), lat.alias("lat")), f"{path}/centroids")
+
+
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """Boxes with centroids, which are worked out where the table lacks them."""
     grid = read_stage(spark, path)
     if "centroid_x" not in grid.columns:
         grid = grid.withColumns({"centroid_x": (F.col("xmin") + F.col("xmax")) / 2, "centroid_y": (F.col("ymin") + F.col("ymax")) / 2})
     return grid
 
 
-def feature_list(df: DataFrame) -> list[str]:
-    """Numeric columns but labels and coordinates, in table order."""
-    return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint", "long") and c not in LABEL_COLUMNS]
+def feature_list(df: DataFrame, first: tuple[str, ...] = ()) -> list[str]:
+    """Numeric columns but labels and coordinates: those named first in their order, then the rest in table order."""
+    rank = {c: i for i, c in enumerate(first)}
+    found = [c for c, t in df.dtypes if t in NUMERIC and c not in LABEL_COLUMNS]
+    return sorted(found, key=lambda c: rank.get(c, len(rank)))
+
+
+def write_feature_list(spark: SparkSession, features: list[str], path: str) -> None:
+    write_json(spark, features, path)
+
+
+def read_feature_list(df: DataFrame, path: str | None = None) -> list[str]:
+    """The list in the file if there is one, else what the table's columns give."""
+    try:
+        return read_json(df.sparkSession, path) if path else feature_list(df)
+    except AnalysisException:
+        return feature_list(df)
 
 
 def write_json(spark: SparkSession, value, path: str) -> None:

@@ -61,8 +61,13 @@ def test_shares_of_all_values(spark):
     for r in spread.topo_points(spark, SF).collect():
         want.setdefault(r.cell_id, []).append(r.landcover)
     assert len({v for x in want.values() for v in x}) == 5
-    got = {r.cell_id: r.landcover_shares for r in catalog.QUERIES["static_features"](spark, SF).collect()}
-    assert got == {c: {v: round(x.count(v) / len(x), 6) for v in x} for c, x in want.items()}
+    shares = {c: {v: round(x.count(v) / len(x), 6) for v in x} for c, x in want.items()}
+    got = {}
+    for r in catalog.QUERIES["category_shares"](spark, SF).collect():
+        got.setdefault(r.cell_id, {})[r.landcover] = r.share
+    assert got == shares
+    kinds = {v for x in want.values() for v in x}
+    assert {r.cell_id: {v: r[f"landcover_prop_{v}"] for v in kinds} for r in catalog.QUERIES["static_features"](spark, SF).collect()} == {c: {v: x.get(v, 0.0) for v in kinds} for c, x in shares.items()}
 
 
 def test_fill_orders(spark):
@@ -91,6 +96,81 @@ def test_impute_in_a_gap(spark):
     assert got == {f"n{i}": (2.0, "u") for i in range(30)} | {"a": (1.0, "u"), "b": (3.0, "u"), "c": (90.0, "v")}
 
 
+def test_unknown_cells_are_skipped_or_an_error(spark):
+    cells = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0), ("lost", None, 0.0)], "cell_id string, x double, y double")
+    assert {r.source for r in knn.knn_pairs(cells, 2).collect()} == {"a", "b"}
+    with pytest.raises(ValueError, match="lost"):
+        knn.knn_pairs(cells, 2, on_missing="error")
+
+
+def test_nearest_station_across_the_seam(spark):
+    cells = spark.createDataFrame([("east", -179.95, 0.0), ("west", 179.98, 0.0), ("far", 0.0, 60.0)], "cell_id string, lon double, lat double")
+    stations = spark.createDataFrame([(0, 0.0, 179.95), (1, 0.0, -179.5), (2, -50.0, 10.0)], "station_idx int, lat double, lon double")
+    got = {r.cell_id: (r.station_idx, r.dist_m) for r in panel.nearest_station(cells, stations).collect()}
+    place = {r.station_idx: r for r in stations.collect()}
+    for c in cells.collect():
+        def metres(s):
+            a = math.sin(math.radians(s.lat - c.lat) / 2) ** 2 + math.cos(math.radians(c.lat)) * math.cos(math.radians(s.lat)) * math.sin(math.radians(s.lon - c.lon) / 2) ** 2
+            return 2 * x.EARTH_M * math.asin(math.sqrt(a))
+
+        best = min(place.values(), key=metres)
+        assert got[c.cell_id][0] == best.station_idx and abs(got[c.cell_id][1] - metres(best)) < 1e-3
+
+
+def test_wind_stretches_edges(spark):
+    pairs = spark.createDataFrame([("a", "b", 10.0), ("a", "c", 10.0), ("b", "a", 10.0)], "source string, target string, dist_m double")
+    coords = spark.createDataFrame([("a", 0.0, 0.0), ("b", 10.0, 0.0), ("c", 0.0, 10.0)], "cell_id string, x double, y double")
+    wind = spark.createDataFrame([("a", 0.0)], "cell_id string, wind_deg double")
+    got = {(r.src, r.dst): r.weight for r in graph.weighted_edges(pairs, 10.0, wind, coords, 0.5).collect()}
+    assert all(abs(got[k] - math.exp(-1) * v) < 1e-12 for k, v in {("a", "b"): 1.5, ("a", "c"): 1.0, ("b", "a"): 1.0}.items())
+
+
+def test_splits(spark):
+    rows = [(t, f"s{i}", "t", int(i == 0)) for t in range(20) for i in range(10)]
+    e = spark.createDataFrame(rows, "time_epoch long, source string, target string, label int")
+    count = lambda df: {(r.label, r.split): r["count"] for r in df.groupBy("label", "split").count().collect()}
+    assert {r.split: (r.lo, r.hi) for r in evaluate.time_split(e).groupBy("split").agg(F.min("time_epoch").alias("lo"), F.max("time_epoch").alias("hi")).collect()} == {"train": (0, 13), "val": (14, 16), "test": (17, 19)}
+    exact = {(0, "train"): 144, (0, "test"): 36, (1, "train"): 16, (1, "test"): 4}
+    assert count(evaluate.time_split(e.withColumn("time_epoch", F.col("time_epoch") % 10))) == exact
+    assert count(evaluate.time_split(e.drop("time_epoch"))) == exact
+    few = e.where("source in ('s0', 's1', 's2')")  # 42 rows to train on
+    assert count(evaluate.time_split(few)) == {(0, "train"): 32, (0, "test"): 8, (1, "train"): 16, (1, "test"): 4}
+
+
+def test_model_learns_and_scores(spark):
+    rows = [(i, f"s{i}", "t", float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)]
+    e = spark.createDataFrame(rows, "time_epoch long, source string, target string, dist_m double, frp_src double, label int")
+    features = edges.select_feature_columns(e)
+    assert features == ["dist_m", "frp_src"]
+    model = evaluate.train_spread_model(e, features, rounds=3, depth=2)
+    got = evaluate.score_edges(model, e, features).collect()
+    assert all((r.pred_proba >= 0.5) == bool(r.label) and 0 <= r.pred_proba <= 1 for r in got)
+    assert [r.feature for r in evaluate.top_features(model, features, 1).collect()] == ["dist_m"]
+
+
+def test_feature_list_file_or_columns(spark, tmp_path):
+    e = spark.createDataFrame([(1, "s", 2.0, 1.0, 0)], "time_epoch long, source string, elevation double, dist_m double, label int")
+    path = f"file://{tmp_path}/list"
+    assert tables.read_feature_list(e, path) == tables.read_feature_list(e) == ["elevation", "dist_m"]
+    tables.write_feature_list(spark, edges.select_feature_columns(e), path)
+    assert tables.read_feature_list(e, path) == ["dist_m", "elevation"]
+    assert [tuple(r) for r in edges.align_features(e, ["dist_m", "humidity", "elevation"]).collect()] == [(1.0, 0.0, 2.0)]
+
+
+def test_numbers_in_order(spark):
+    names = [f"cell_{i % 40}_{i // 40}" for i in range(300)]
+    p = spark.createDataFrame([(n,) for n in names * 2], "cell_id string")
+    assert {r.cell_id: r.node_idx for r in tensor.node_index(p).collect()} == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_grid_files(spark, tmp_path):
+    g = grid.build_grid(spark, (500000.0, 503000.0, 4000000.0, 4002000.0), 1000.0)
+    tables.write_grid(g, f"file://{tmp_path}/g", 11)
+    assert tables.read_grid(spark, f"file://{tmp_path}/g/boxes").count() == 6
+    low = spark.read.parquet(f"file://{tmp_path}/g/centroids").where("cell_id = 'cell_0_0'").first()
+    assert abs(low.lon + 117) < 0.01 and abs(low.lat - 36.14) < 0.01
+
+
 def test_label_and_trend(spark):
     p = spark.createDataFrame([("a", 10, 1.0, True), ("a", 11, 3.0, True), ("a", 12, 5.0, True), ("b", 36, 1.0, True), ("b", 37, 1.0, True)], "cell_id string, epoch_hr long, frp_sum double, fire_any boolean")
     assert [r.frp_src_trend for r in edges.frp_trend(p, 6).where("cell_id = 'a'").orderBy("epoch_hr").collect()] == [0.0, 0.0, 2.0]
@@ -134,7 +214,7 @@ def test_column_names():
         tables.resolve_latlon(["a", "b"])
 
 
-@pytest.mark.parametrize("name", ["assigned_points", "fire_cell_time", "panel_sparse", "knn_pairs", "frp_trend", "spread_labels"])
+@pytest.mark.parametrize("name", ["assigned_points", "fire_cell_time", "panel_sparse", "knn_pairs", "frp_trend", "spread_labels", "csv_points", "bounded_cells", "projected_cells", "panel_half_hours", "stage_summary", "station_weather", "knn_impute", "example_features", "balanced_examples", "stratified_split", "adjacency_wind", "tensor_all_nodes", "tensor_stats"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "customer"):
