@@ -83,25 +83,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).otherwise(freed)
 
 
+def in_bucket(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """rows with __cuts and __b, the place of the last cut that __k reaches, found by binary search."""
+    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    rows = rows.withColumn("__cuts", F.array(*(F.lit(c).cast("long") for c in cuts)))
+    upto = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(F.col("__cuts"), at + step - 1) <= F.col("__k")), at + step).otherwise(at))
+    return rows.withColumn("__b", F.greatest(upto - 1, F.lit(0)))
+
+
 def with_next(df: DataFrame, order: str, carried: list[str], rows_per_bucket: int = 250, buckets: int = 20_000) -> DataFrame:
     """df with __next, a struct of the carried columns of the next row in ascending order; after the last comes the first.
 
     Rows are cut into buckets at quantiles of order, of about rows_per_bucket rows (more only beyond `buckets` of them); the
     first row of each bucket also goes to the end of the bucket before, so that each bucket finds its pairs alone. Beyond
-    `buckets` a bucket's rows are sorted on disk. Nulls come first, by the hash of the carried columns, so that many of them
+    `buckets` a bucket's rows are sorted on disk. Nulls come first, by the hash of the first carried column, so that many of them
     make many buckets; equal keys follow each other by the carried columns.
     """
-    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(*carried), 4))
-    n = df.select(order).count()
-    parts = min(max(1, n // rows_per_bucket), buckets)
-    cuts = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("q"), F.min("k").alias("low")).first()
-    cuts = sorted({cuts.low, *cuts.q}) if n else [0]
-    table = F.array(*(F.lit(c).cast("long") for c in cuts))
-    steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-    rows = df.withColumn("__k", key).withColumn("__cuts", table)
-    # binary search: the number of cuts up to the key, less one
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(F.col("__cuts"), at + step - 1) <= F.col("__k")), at + step).otherwise(at)) - 1
-    rows = rows.withColumn("__b", found).withColumn("__first", F.get("__cuts", F.col("__b")) == F.col("__k")).drop("__cuts")
+    number, low = F.col(order).cast("long"), F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(carried[0]), 4)
+    key, cuts = F.coalesce(number, low), set()
+    n, known = df.agg(F.count("*"), F.count(order)).first()
+    for rows, k, count in ((df.where(F.col(order).isNotNull()), number, known), (df.where(F.col(order).isNull()), low, n - known)):
+        if count:
+            parts = min(max(1, count // rows_per_bucket), max(1, buckets * count // n))
+            rows = rows.select(k.alias("__k"))
+            found = rows.agg(F.percentile_approx("__k", [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("q"), F.min("__k").alias("low")).first()
+            # quantiles of long numbers are rounded: each bucket is cut at the least key that it really has
+            cuts |= {r.low for r in in_bucket(rows, sorted({found.low, *found.q})).groupBy("__b").agg(F.min("__k").alias("low")).collect()}
+    cuts = sorted(cuts) or [0]
+    rows = in_bucket(df.withColumn("__k", key), cuts)
+    rows = rows.withColumn("__first", F.get("__cuts", F.col("__b")) == F.col("__k")).drop("__cuts")
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("wrap"), F.lit(False).alias("copy"))
     before = F.struct(F.when(F.col("__b") > 0, F.col("__b") - 1).otherwise(len(cuts) - 1).alias("b"), (F.col("__b") == 0).cast("int").alias("wrap"), F.lit(True).alias("copy"))
     rows = rows.withColumn("__to", F.explode(F.when(F.col("__first"), F.array(own, before)).otherwise(F.array(own))))

@@ -573,6 +573,10 @@ class KneserNey:
             blobs = [pack(*(c[x:y] for c in columns)) for x, y in zip(at, np.r_[at[1:], len(part)])]
             return [pa.array([kind] * len(at), pa.int32()), pa.array(part[at], pa.int32()), pa.array(file[at], pa.int64()), pa.array(blobs, pa.binary())]
 
+        def part_of(block):
+            # row numbers of tasks are far apart, so blocks are dealt by a hash
+            return shard_of(bw.mix(block.astype(np.uint64) + np.uint64(bw.BASE)), parts)
+
         def ask(want_hot: bool):
             def run(batches):
                 maps, N, V = Maps(), model.total, model.types
@@ -589,7 +593,7 @@ class KneserNey:
                         lo = 0
                         for own, _, _ in held:
                             hi = lo + own.num_rows
-                            blank = [pa.array(np.full(hi - lo, WHOLE, np.int32)), pa.array(((row[lo:hi] >> BLOCK_BITS) % parts).astype(np.int32)), pa.array(row[lo:hi] >> BLOCK_BITS), pa.nulls(hi - lo, pa.binary())]
+                            blank = [pa.array(np.full(hi - lo, WHOLE, np.int32)), pa.array(part_of(row[lo:hi] >> BLOCK_BITS), pa.int32()), pa.array(row[lo:hi] >> BLOCK_BITS), pa.nulls(hi - lo, pa.binary())]
                             yield pa.RecordBatch.from_arrays([*blank, *(own.column(x) for x in ["row", *named]), *(pa.array(s[lo:hi]) for s in sums)], names=whole.names)
                             lo = hi
                     heat = (place_in(model.hot, b) >= 0).astype(np.int64)
@@ -623,7 +627,7 @@ class KneserNey:
             """The sum of logarithms for each text, by blocks of texts that are neighbours in the input."""
             key, back = np.unique(row, return_inverse=True)
             block = key >> BLOCK_BITS
-            return requests(ANSWER, block % parts, block, [key, np.bincount(back, np.log10(p), len(key))])
+            return requests(ANSWER, part_of(block), block, [key, np.bincount(back, np.log10(p), len(key))])
 
         def answered(row, p):
             made = answers(row, p)

@@ -62,8 +62,8 @@ class ByteNet:
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray, tables) -> np.ndarray:
         """One row of probabilities for each text."""
         line, start, text, size = windows(raw, offsets)
-        # a window's responses end where the next one starts; bytes between texts are zeros
-        pooled = np.maximum.reduceat(self.responses(line, tables), start, axis=0) + self.bias
+        # responses at the window's own bytes alone; those of its last bytes reach into what follows in the text, or zeros
+        pooled = np.maximum.reduceat(self.responses(line, tables), np.stack([start, start + size], axis=1).ravel(), axis=0)[::2] + self.bias
         logit = np.maximum(pooled, 0) @ self.weights + self.offset
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p *= (size / p.sum(axis=1))[:, None]

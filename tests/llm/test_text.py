@@ -377,3 +377,208 @@ def test_near_duplicate_stage_with_repeated_ids(spark):
     assert len(kept) == 1 and kept[0][0] == 1
     want = [(1, text("a")), (1, text("c")), (3, text("d")), (4, "few words"), (4, "other words"), (6, None), (6, ""), (None, text("a"))]
     assert [g for g in got if g not in kept] == sorted((i or 0, x or "", x is None) for i, x in want)
+
+
+def test_mixing_against_brute_force(spark, odd):
+    """Targets by sharing again and again; documents in the order of their keys."""
+    rng = random.Random(9)
+    rows = odd + [(100 + i, " ".join("w" for _ in range(rng.randrange(40))), "en", f"s{rng.choice([0, 1, 1, 1, 2, 4, 5])}", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    quality = spark.createDataFrame([(i, rng.choice([0.5, 2.0, 0.0])) for i in range(100, 300)], "doc_id long, quality double")
+    keys = {}
+    for r in docs.select("doc_id", "text", "source", F.xxhash64(F.lit(1), "doc_id", "text").alias("h")).collect():
+        keys.setdefault((r.doc_id, r.text), r.h)
+    good = {r.doc_id: r.quality for r in quality.collect() if r.quality > 0}
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x))
+    words = {x: sum(len(split(r[1])) for r in rows if r[3] == x) for x in names}
+    weight = {x: (3, 1, 2)[i % 3] for i, x in enumerate(names)}
+    left, target = set(names), {}
+    while True:
+        rest = 1.5 * sum(words.values()) - sum(target.values())
+        share = {x: rest * weight[x] / sum(weight[y] for y in left) for x in left}
+        over = {x for x in left if share[x] > 2 * words[x]}
+        if not over:
+            target |= share
+            break
+        target |= {x: 2.0 * words[x] for x in over}
+        left -= over
+    want = collections.Counter()
+    for x in names:
+        rounds, rest = (int(target[x] // words[x]) if words[x] else 0), 0
+        rest = int(target[x]) - rounds * words[x]
+        own = sorted((-math.log((((keys[r[0], r[1]] % 2**64) >> 11) + 0.5) / 2.0**53) / good.get(r[0], 1.0), keys[r[0], r[1]], i) for i, r in enumerate(rows) if r[3] == x)
+        for _, _, i in own:
+            size = len(split(rows[i][1]))
+            fits = max(0, min(size, rest))
+            rest -= fits
+            want[rows[i][0], size, words[x], rounds * size + fits] += 1
+    got = mixing.mix_sources(docs, quality, keep=["doc_id", "source"]).collect()
+    assert all(math.isclose(r.target, target[r.source], rel_tol=1e-9, abs_tol=1e-9) for r in got)
+    assert collections.Counter((r.doc_id, r["size"], r.source_size, r.taken) for r in got) == want
+
+
+def test_network_against_a_naive_convolution(spark, odd):
+    texts = ["kurz", "ä" * 400, "the quick brown fox " * 40, "x", "ich bin nicht hier und du auch nicht " * 9]
+    net = language_id.ByteNet.train([t.encode() for t in texts], ["en", "de", "en", "fr", "de"], epochs=3)
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in got:
+        data = texts[r.doc_id].encode()
+        line, total = data + bytes(8), np.zeros(len(net.languages))
+        for a in range(0, len(data), language_id.WINDOW):
+            size = min(language_id.WINDOW, len(data) - a)
+            pooled = [max(sum(float(t[j][line[a + i + j], f]) for j in range(w)) for i in range(size)) for t, w in zip(net.tables, language_id.WIDTHS) for f in range(language_id.FILTERS)]
+            logit = np.maximum(np.array(pooled) + net.bias, 0) @ net.weights + net.offset
+            p = np.exp(logit - logit.max())
+            total += size * p / p.sum()
+        total /= len(data)
+        assert r.lang_pred == net.languages[int(total.argmax())] and abs(r.score - total.max()) < 1e-4
+
+
+def test_toxicity_numbers_against_brute_force(spark):
+    """Log-odds, lambda and K from plain counts of the same texts."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([f"id{i}", *rng.choices(vocabulary, k=60), *(rng.choices(["vile", "nasty"], k=3) if i % 4 == 0 else rng.choices(["vile", "fine"], [1, 30], k=2))])) for i in range(600)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.Toxicity.fit(table, labels, F.lit(True))
+    part = {r.doc_id: r.p for r in table.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)).alias("p")).collect()}
+    fit = [(set(t.split()), i % 4 == 0) for i, t in docs if part[i]]
+    bad, good = sum(b for _, b in fit), sum(not b for _, b in fit)
+    base, gains = bad / (bad + good), {}
+    for w in {w for x, _ in fit for w in x}:
+        a, b = sum(w in x for x, y in fit if y), sum(w in x for x, y in fit if not y)
+        pa_, pb = a + 5 * base, b + 5 * (1 - base)
+        gain = math.log(pa_ / pb) - math.log(base / (1 - base)) - 1.64 * math.sqrt(1 / pa_ + 1 / pb)
+        if a > 1 and gain >= 1:
+            gains[w] = gain
+    assert gains and len(gains) == len(model.words) and np.allclose(sorted(gains.values()), sorted(model.gains))
+    harmless = [t.split() for i, t in docs if not part[i] and i % 4]
+    tokens = sum(map(len, harmless))
+    seen = [gains[w] for t in harmless for w in t if w in gains]
+    middle = lambda g: (int(g / toxicity.STEP) + 0.5) * toxicity.STEP
+    moment = lambda seen, x: sum(math.exp(x * middle(g)) for g in seen) / tokens + (1 - len(seen) / tokens) * math.exp(-x * model.drift) - 1
+    assert model.rate == 1.0 and moment(seen, 1.0) < 0  # lambda is 1 at most
+    often, count = seen * 16, np.zeros(toxicity.BINS)
+    for g in often:
+        count[int(g / toxicity.STEP)] += 1
+    rate, _ = toxicity.extreme_values(count, count, tokens, model.drift)
+    assert 0 < rate < 1 and abs(moment(often, rate)) < 1e-6
+    scores = [x for t in harmless for _, _, x in toxicity.maximal_segments([i for i, w in enumerate(t) if w in gains], [gains[w] for w in t if w in gains], model.drift)]
+    tails = [(v, sum(int(x / toxicity.STEP) >= b for x in scores)) for b, v in enumerate(np.arange(toxicity.BINS) * toxicity.STEP)]
+    assert abs(model.k - np.median([n / tokens * math.exp(model.rate * v) for v, n in tails if n >= 5])) < 1e-9
+
+
+def test_edited_texts_wrap_and_their_likeness(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(50)}" for _ in range(rng.choice([0, 3, 40, 400]))) + "é" * (i % 2) for i in range(30)]
+    ids = rng.sample(range(10_000), 30)
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    order = sorted(zip(ids, texts))
+
+    def likeness(a, b):
+        if not a or not b:
+            return float(a == b)
+        share = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, len(a), 2)) / (len(a) // 2)
+        return max(0.0, (share - 2**-8) / (1 - 2**-8))
+
+    for (i, t), (j, n) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert math.isclose(got[i].near_edited, likeness(got[i].fingerprint, got[i].edited_fingerprint)) and math.isclose(got[i].near_next, likeness(got[i].fingerprint, got[j].fingerprint))
+
+
+def test_chat_ties_long_conversations_and_other_columns(spark):
+    turns = [(1, 0, "user", t) for t in "cab"] + [(2, 0, "user", t) for t in "abc"] + [(3, i, "user", f"turn {i} " * 20) for i in range(3000)] + [(4, i, "user", f"turn {i} " * 20) for i in range(2999)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.render_conversations(df.withColumns({"n_turns": F.lit(7), "copies": F.lit("x"), "body": F.lit(1)})).collect()}
+    assert set(got) == {1, 3} and got[1].copies == 2 and got[3].n_turns == 3000
+    assert got[1].chat == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in "abc")
+
+
+def test_other_columns_of_clashing_names(spark, odd):
+    import public_tokenizers
+
+    names = ["score", "lang_pred", "toxicity", "passages", "n_tokens", "ids", "size", "target", "taken", "row", "hash", "bins", "label", "cid", "text_key", "kind", "id", "q", "rule", "n"]
+    docs = spark.createDataFrame(odd, SCHEMA)
+    more = docs.withColumns({c: F.lit("clash") for c in names})
+    letters = language_id.ByteNet.train([b"the and", "schön über".encode()] * 4, ["en", "de"] * 4, epochs=1)
+    toxic = toxicity.Toxicity(np.zeros(0, np.uint64), np.zeros(0), 0.05, 1.0, 1.0, 0.0, -3.0)
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    for run, own in (
+        (lambda d: ngram_join.jaccard_components(d), ["doc_id", "n_shingles", "component_id"]),
+        (lambda d: toxic.score(d), ["doc_id", "toxicity"]),
+        (lambda d: fingerprints.edited_fingerprints(d), ["doc_id", "fingerprint", "near_next"]),
+        (lambda d: mixing.mix_sources(d), ["doc_id", "size", "target", "taken"]),
+        (lambda d: language_id.predict(d, letters), ["doc_id", "lang_pred", "score"]),
+        (lambda d: piece_tokens.encode_pieces(d, path, with_ids=True), ["doc_id", "n_tokens", "ids"]),
+    ):
+        assert sorted(map(repr, run(more).select(own).collect())) == sorted(map(repr, run(docs).select(own).collect()))
+    urls = spark.createDataFrame([(1, "http://a.net/es/")], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    assert url_filters.judge_urls(urls.withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "short", "row")}), rules).first().rule == "net/es/"
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    assert exact_topk.exact_topk(vectors.withColumns({c: F.lit("clash") for c in ("id", "vec", "q", "score", "rank", "dim")}), F.col("vec_id") == 0, 2).count() == 2
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.Toxicity.fit(docs, labels, F.lit(True)).score(docs).count() == 0
+    assert language_id.predict(docs, language_id.fit(docs, F.lit(True))).count() == 0
+    assert exact_topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).count() == 0
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.near_duplicate_stage):
+        assert stage(spark, docs, "").count() == 0
+
+
+def test_grid_of_products_grows():
+    assert exact_topk.grid(0, 0)[0] >= 1
+    for n, q in ((1000, 20), (10**6, 2 * 10**4), (10**9, 2 * 10**7)):
+        rows, columns = exact_topk.grid(n, q)
+        assert rows * columns >= max(32, n * q / (1 << 30)) and columns <= max(1, -(-q // exact_topk.BLOCK))
+
+
+def test_pipeline_run(spark, odd, tmp_path):
+    """All stages on the odd documents against plain Python: letters decide the language, no labels, Jaccard by sets, copies, the library's ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    rows = sorted(set(odd), key=repr) + [(200 + i, f"text number {i} of its own kind with some words " * 3, "en", "s3", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "label": F.lit("clash"), "size": F.lit(1)})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    sets = [({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in (split(r[1]) for r in kept)]
+    group = list(range(len(kept)))
+    for a, b in itertools.combinations(range(len(kept)), 2):
+        if kept[a][0] is not None and kept[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    alone = [min((kept[i] for i in range(len(kept)) if group[i] == g), key=lambda r: (r[0] is None, r[0])) for g in sorted(set(group))]
+    mixed = mixing.mix_sources(spark.createDataFrame(alone, SCHEMA), keep=["doc_id"]).collect()
+    copies = collections.Counter()
+    for r in mixed:
+        copies[r.doc_id] += math.ceil(r.taken / r["size"]) if r["size"] else 0
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    want = collections.Counter()
+    for r in alone:
+        ids = [sp.bos_id(), *sp.encode(r[1]), sp.eos_id()]
+        want[r[0], hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += copies[r[0]]
+    assert collections.Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == +want
+
+
+def test_many_null_ids_make_many_buckets(spark):
+    """Each row has a successor of its own, in one ring, whatever the bucket size."""
+    rows = [(None if i % 3 == 0 else (i // 2) + (1 << 62) * (i % 2), f"t{i}") for i in range(90)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", ["text"], rows_per_bucket=4).collect()
+    assert len(got) == 90
+    after = {r.text: r["__next"].text for r in got}
+    ids, at, seen = dict((t, i) for i, t in rows), "t0", []
+    for _ in range(90):
+        seen.append(at)
+        at = after[at]
+    assert sorted(seen) == sorted(ids) and at == "t0"
+    turned = [ids[t] for t in seen]
+    first = next(i for i in range(90) if turned[i] is None and turned[i - 1] is not None)
+    turned = turned[first:] + turned[:first]
+    assert turned == sorted(turned, key=lambda x: -1 if x is None else x)
