@@ -299,9 +299,10 @@ def by_file(batches, kind: int, columns: int, most: float = math.inf):
         yield now, [np.concatenate(c) for c in zip(*held)]
 
 
-def spread(rows: DataFrame, parts: int) -> DataFrame:
+def spread(rows: DataFrame, parts: int, part: Column | None = None) -> DataFrame:
     """Rows by part, sorted by file; a task holds several parts only where there are more of them than tasks."""
-    return rows.repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("file")
+    part = F.col("part") if part is None else part
+    return rows.repartitionById(parts, F.pmod(part, F.lit(parts)).cast("int")).sortWithinPartitions("file")
 
 
 class KneserNey:
@@ -704,7 +705,9 @@ class KneserNey:
             if texts:
                 yield out(texts, answers)
 
-        found = spread(rows.mapInArrow(ask(False), whole), parts).mapInArrow(look_up, whole)
+        # texts' own rows only pass the look-up, so they are dealt one by one there and meet their block's answers after it
+        anywhere = F.when(F.col("kind") == WHOLE, F.xxhash64("row")).otherwise(F.col("part"))
+        found = spread(rows.mapInArrow(ask(False), whole), parts, anywhere).mapInArrow(look_up, whole)
         if len(self.hot):
             warm = spread(rows.mapInArrow(ask(True), request), hot_parts).mapInArrow(look_up_hot, request)
             warm = warm if order == 2 else spread(warm, parts).mapInArrow(look_up_raised, request)
