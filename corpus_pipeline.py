@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from cindergrid.llm import language_id, mixing, ngram_join, piece_tokens, queries, toxicity
 from cindergrid.llm.common import crc_mod, discard, table, written
 
-#: A text has no language where the network believes in its best one less than so many times an even share.
-LEAST_SURE = 1.5
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language and sets lang of the others to the predicted one.
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: list[str] | None = None) -> DataFrame:
+    """Drops documents of no language, or of none of `languages` if given, and sets lang of the others to the predicted one.
 
-    No language: null texts, texts without a letter, and texts whose best language is hardly likelier to the network than any (LEAST_SURE).
+    No language: null texts, texts without a letter, and texts predicted to be like those that the table itself labels 'und'.
+    A low likelihood rejects nothing: windows that disagree lower the average of texts whose prediction is right.
     Where no language could be learned, or a single one, there is nothing to tell apart: the letters alone decide and
     lang stays. Null ids, repeated rows and other columns make no difference; an empty table gives none.
     """
     net = language_id.fit(docs.select("doc_id", "text", "lang"), crc_mod(F.col("doc_id"), 4) != 2)
     if net is None or len(net.languages) < 2:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*DOCUMENT)
-    found = language_id.predict(docs.select(*DOCUMENT, F.col("text").alias("__t")), net, "__t")
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SURE / len(net.languages))).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
+    found = language_id.predict(docs.select(*DOCUMENT, F.col("text").alias("__t")), net, "__t").where(F.col("lang_pred") != language_id.UND)
+    if languages is not None:
+        found = found.where(F.col("lang_pred").isin(languages))
+    return found.withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
