@@ -361,6 +361,18 @@ def test_language_stage_without_languages(spark, odd, lang):
     assert sorted((r.text, r.lang) for r in got) == sorted((r[1], lang) for r in want) if lang else sorted(r.text for r in got) == sorted(r[1] for r in want)
 
 
+def test_language_stage_keeps_mixed_texts_and_chosen_languages(spark):
+    """Texts half in each language have a low likelihood and stay; a list of languages keeps the predicted ones in it."""
+    words = {"de": "der und nicht eine ist mit auf dem", "en": "the and not one is with on of"}
+    one = lambda lang, i: " ".join(words[lang].split()[(i * j + j) % 8] for j in range(60))
+    rows = [(i, one(("de", "en")[i % 2], i), ("de", "en")[i % 2], "s", 0) for i in range(120)]
+    rows += [(500 + i, one("de", i) + " " + one("en", i), None, "s", 0) for i in range(10)] + [(600, "... 12 !", "en", "s", 0), (601, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert set(got) == {r[0] for r in rows[:-2]} and all(got[i] == ("de", "en")[i % 2] for i in range(120))
+    assert {i: x for i, x in got.items() if x == "de"} == {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, docs, "", ["de"]).collect()}
+
+
 @pytest.mark.parametrize("toxic", [1, 0, None])
 def test_toxicity_stage_with_one_class(spark, odd, tmp_path, toxic):
     spark.createDataFrame([(r[0], 1, toxic) for r in odd], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
