@@ -9,7 +9,8 @@ segments of the nats by which they pass that; a logistic curve fitted on labelle
 into a probability.
 
 Labels: rows of (doc_id, toxic); other values than 0 and 1 and null ids are left out, repeated ids count once, toxic
-if any row is. The fit reads at most about max_labelled of them, taken by a hash of the id. With no toxic or no harmless
+if any row is. The fit reads at most about max_labelled of them, taken by a hash of the id; equal texts of one label count
+once, and a hash of their smallest id says whether they give counts or the curve, so that reruns agree. With no toxic or no harmless
 labelled text every score is the share of toxic ones (0 without labels). Null and empty texts have no segment.
 """
 
@@ -66,7 +67,8 @@ class Toxicity:
             own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
         # at most about max_labelled ids: a bounded table
         held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
-        held = held.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "toxic"]).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)))
+        held = held.groupBy(F.xxhash64("text").alias("key"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        held = held.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)))
         held = written(held.select("text", "toxic", F.when(F.col("part") == 0, 1).otherwise(0).alias("calibrate")))
 
         def words(batches):
@@ -122,7 +124,7 @@ class Toxicity:
                     count[min(int(model.evidence(place, gain, n) / STEP), BINS - 1), toxic] += 1
             yield pa.record_batch([pa.array(np.arange(BINS)), pa.array(count[:, 0]), pa.array(count[:, 1])], names=["bin", "good", "bad"])
 
-        rows = held.where("calibrate = 1").mapInArrow(evidence, "bin long, good double, bad double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+        rows = sorted(held.where("calibrate = 1").mapInArrow(evidence, "bin long, good double, bad double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r.bin)
         model.slope, model.offset = logistic([(r.bin + 0.5 * (r.bin > 0)) * STEP for r in rows], [r.bad for r in rows], [r.good for r in rows], share)
         return model
 

@@ -192,6 +192,20 @@ def test_toxicity(spark, odd):
     assert toxicity.Toxicity.fit(table, labels.limit(0), F.lit(True)).score(table).where("toxicity >= 0.5").count() == 0
 
 
+def test_toxicity_fit_does_not_depend_on_the_order_of_copies(spark):
+    """Labelled copies of a text under many ids give the same model however the rows are dealt."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(words, k=30) + (rng.choices(["vile", "nasty", "foul", "base"], k=4) if i % 4 == 0 else [])) for i in range(200)]
+    docs = [(1000 * j + i, x) for i, x in enumerate(texts) for j in range(6)]
+    labels = spark.createDataFrame([(i, int(i % 1000 % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    models = []
+    for n, rows in ((1, docs), (7, docs[::-1]), (5, rng.sample(docs, len(docs)))):
+        m = toxicity.Toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels, F.lit(True))
+        models.append((m.words.tolist(), m.gains.tolist(), m.rate, m.k, m.slope, m.offset))
+    assert models[0] == models[1] == models[2] and models[0][0]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     v = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 256]) for i in range(230)]
