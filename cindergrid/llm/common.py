@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,21 @@ def discard(*tables: DataFrame) -> None:
         store.delete_dir(path)
 
 
+def tree_sum(rows: DataFrame, part: Callable, shape: tuple, dtype=np.float64, fan: int = 64) -> np.ndarray:
+    """The sum over all record batches of part(batch), an array of the given shape: summed in each task, then in ever fewer tasks."""
+
+    def gather(found):
+        yield pa.record_batch([pa.array([sum(found, np.zeros(shape, dtype)).astype(dtype).tobytes()], pa.binary())], names=["sum"])
+
+    read = lambda b: sum((np.frombuffer(v.as_buffer(), dtype).reshape(shape) for v in b.column("sum")), np.zeros(shape, dtype))
+    tasks = rows.rdd.getNumPartitions()
+    sums = rows.mapInArrow(lambda batches: gather(part(b) for b in batches if b.num_rows), "sum binary")
+    while tasks > fan:
+        tasks = math.ceil(tasks / fan)
+        sums = sums.repartition(tasks).mapInArrow(lambda batches: gather(map(read, batches)), "sum binary")
+    return sum((np.frombuffer(r.sum, dtype).reshape(shape) for r in sums.collect()), np.zeros(shape, dtype))
+
+
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with the facts of their key; facts has a row for each key, with n, the number of rows that have it, of total.
 

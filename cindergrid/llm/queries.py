@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import chat_format, exact_topk, fingerprints, kneser_ney, language_id, mixing, ngram_join, piece_tokens, toxicity, url_filters
+from cindergrid.llm import chat_format, exact_topk, fingerprints, kneser_ney, language_id, lexical_rank, license_scan, mixing, ngram_join, piece_tokens, toxicity, url_filters, whitening
 from cindergrid.llm.common import crc_mod, table
 
 
@@ -78,10 +78,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return piece_tokens.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16, scale=64.0, shift=1_000_000)
+
+
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_lm_score, op2_ngram_jaccard, op3_toxicity, op4_exact_topk, op5_url_filters, op6_fingerprints, op7_chat_format, op8_mix_sources, op9_language_id, op10_sentencepiece]
+    own = [op1_lm_score, op2_ngram_jaccard, op3_toxicity, op4_exact_topk, op5_url_filters, op6_fingerprints, op7_chat_format, op8_mix_sources, op9_language_id, op10_sentencepiece, op11_whitening, op12_lexical_rank, op13_license_scan]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -127,4 +140,23 @@ p AS (SELECT DISTINCT list_slice(turns, 1, k) AS turns FROM c, LATERAL (SELECT u
 SELECT conv_id, n_turns, copies, chat FROM u WHERE turns NOT IN (SELECT turns FROM p)
 """
 
-ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op5_url_filters": OP5_SQL, "op7_chat_format": OP7_SQL}
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+occ AS (SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+n AS (SELECT r, CAST(count(*) AS BIGINT) AS n FROM occ GROUP BY r),
+t AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM n),
+post AS (SELECT r, doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM occ GROUP BY r, doc_id, term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+items AS (
+  SELECT row_number() OVER () AS i, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ask AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+s AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM ask JOIN post USING (term) JOIN df USING (term) JOIN n USING (r) CROSS JOIN t GROUP BY i, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op4_exact_topk": OP4_SQL, "op5_url_filters": OP5_SQL, "op7_chat_format": OP7_SQL, "op12_lexical_rank": OP12_SQL}
