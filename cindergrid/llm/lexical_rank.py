@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm import bytewords as bw
 from cindergrid.llm.common import shared_dir, tree_sum
 
-SHARD, ITEMS, WIDE, FAN = 16 << 20, 8 << 20, 128, 64
+SHARD, FILE, ITEMS, WIDE, FAN = 8 << 20, 4, 8 << 20, 256, 64
 INDEX = "docs long, ids binary, nulls long, terms binary, counts binary, row binary, z binary, kids binary, level binary, top binary"
 ROWS = np.uint64(0xAAAAAAAAAAAAAAAA)
 
@@ -156,7 +156,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if parts:
             yield out()
 
-    docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX).write.option("compression", "zstd").option("maxRecordsPerFile", FILE).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path), n
 
 
@@ -169,7 +169,10 @@ class Treap:
         self.known = len(self.ids) - batch.column("nulls")[i].as_py()
         self.kids, self.points = get("kids", np.int32).reshape(-1, 4), len(self.z)
         self.height = max(1, int(max(len(self.terms), len(self.ids)) - 1).bit_length())
-        self.level = np.r_[np.full(self.points, self.height, np.int64), get("level", np.uint8)]
+        self.top_level = self.height - max(1, (len(self.ids) - 1).bit_length())
+        self.level = np.concatenate([np.full(self.points, self.height, np.uint8), get("level", np.uint8)])
+        self.below = 2 * (self.height - self.level).astype(np.uint64)  # bits of a code below the node's digits
+        self.worth = np.append(self.top, 0).astype(np.int64)
         self.code = np.empty(self.points + len(self.kids), np.uint64)  # of a node: that of a point in it
         self.code[: self.points] = self.z
         some = self.kids.max(axis=1) if len(self.kids) else np.zeros(0, np.int32)
@@ -184,34 +187,50 @@ class Treap:
         return there, self.row[at[there]].astype(np.int64)
 
     def on_row(self, node: np.ndarray, path: np.ndarray) -> np.ndarray:
-        """Nodes whose cell the row crosses; else -1."""
-        safe = np.maximum(node, 0)
-        off = ((self.code[safe] ^ path) & ROWS) >> (2 * (self.height - self.level[safe])).astype(np.uint64)
-        return np.where((node >= 0) & (off == 0), node, -1)
+        """Whether the row crosses the node's cell."""
+        return ((self.code[node] ^ path) & ROWS) >> self.below[node] == 0
 
     def halves(self, cells: np.ndarray, level: np.ndarray, path: np.ndarray) -> np.ndarray:
-        """cells (ranges, terms) at the ranges' level to those of both halves: (2, ranges, terms)."""
-        safe, down = np.maximum(cells, 0), (2 * (self.height - 1 - level)).astype(np.uint64)[:, None]
-        side = ((self.code[safe] >> down) & np.uint64(1)).astype(np.int64)
-        here = (self.level[safe] == level[:, None]) & (cells >= 0)
-        quarter = ((path[None, :] >> down) & np.uint64(2)).astype(np.int64)
-        inner = np.where(here, safe - self.points, 0)
-        out = np.empty((2, *cells.shape), np.int64)
+        """cells (ranges, terms) at the ranges' level, -1 where a term has none, to those of the left halves, then of the right ones."""
+        out = np.full((2, cells.size), -1, np.int32)
+        at = np.flatnonzero(cells.ravel() >= 0)
+        node, own, row = cells.ravel()[at], level[at // cells.shape[1]], path[at % cells.shape[1]]
+        down = (2 * (self.height - 1 - own)).astype(np.uint64)
+        here = self.level[node] == own
+        passed = ~here  # the node's cell is narrower: it lies in one half
+        out[((self.code[node[passed]] >> down[passed]) & np.uint64(1)).astype(np.int8), at[passed]] = node[passed]
+        at, inner, row = at[here], node[here] - self.points, row[here]
+        quarter = ((row >> down[here]) & np.uint64(2)).astype(np.int64)
         for half in (0, 1):
-            below = np.where(here, self.kids[inner, quarter | half] if len(self.kids) else -1, -1)
-            out[half] = np.where(here, self.on_row(below, path[None, :]), np.where(side == half, cells, -1))
-        return out
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, last: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, columns) of the k best documents by falling score, then column; last: score and least id that they must beat."""
+            below = self.kids[inner, quarter | half]
+            there = np.flatnonzero(below >= 0)
+            there = there[self.on_row(below[there], row[there])]
+            out[half, at[there]] = below[there]
+        return out.reshape(-1, cells.shape[1])
+
+    def enter(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row digits, and its cell at the highest level that parts documents; -1 without one."""
         there, row = self.rows_of(terms)
+        path, cells = np.zeros(len(terms), np.uint64), np.full(len(terms), -1, np.int32)
+        path[there] = spaced(row) << np.uint64(1)
+        if len(there):
+            root = len(self.code) - 1
+            own = path[there]
+            at = np.where(self.on_row(np.full(len(there), root), own), np.int32(root), np.int32(-1))[None, :]
+            for level in range(self.top_level):
+                at = self.halves(at, np.array([level]), own)[:1]
+            cells[there] = at[0]
+        return path, cells
+
+    def best(self, path: np.ndarray, cells: np.ndarray, weight: np.ndarray, k: int, last: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, columns) of the k best documents for terms entered, by falling score, then column; last: score and least id that they must beat."""
+        there = np.flatnonzero(cells >= 0)
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(there) or not self.points:
+        if not len(there):
             return nothing
-        path, weight = spaced(row) << np.uint64(1), weights[there]
-        h = self.height
-        cells = self.on_row(np.full((1, len(row)), len(self.code) - 1), path[None, :])
-        level, begin = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        path, weight, h = path[there], weight[there], self.height
+        cells = cells[None, there]
+        level, begin = np.full(1, self.top_level), np.zeros(1, np.int64)
         bound = self.bounds(cells, weight)
         got_score, got_at = nothing
         while len(bound):
@@ -227,23 +246,23 @@ class Treap:
                 order = np.lexsort((begin, -bound))
                 cells, level, begin, bound = cells[order], level[order], begin[order], bound[order]
             own, own_level = cells[:WIDE], level[:WIDE]
-            below = self.halves(own, own_level, path).reshape(-1, len(row))
-            after = np.tile(own_level + 1, 2)
-            start = np.r_[begin[:WIDE], begin[:WIDE] + (np.int64(1) << (h - 1 - own_level))]
+            below = self.halves(own, own_level, path)
+            after = np.concatenate([own_level, own_level]) + 1
+            start = np.concatenate([begin[:WIDE], begin[:WIDE] + (np.int64(1) << (h - 1 - own_level))])
             limit = self.bounds(below, weight)
             live = limit > 0
             below, after, start, limit = below[live], after[live], start[live], limit[live]
             done = after == h
             if done.any():
-                got_score, got_at = np.r_[got_score, limit[done]], np.r_[got_at, start[done]]
+                got_score, got_at = np.concatenate([got_score, limit[done]]), np.concatenate([got_at, start[done]])
                 order = np.lexsort((got_at, -got_score))[:k]
                 got_score, got_at = got_score[order], got_at[order]
             rest = ~done
-            cells, level, begin, bound = np.concatenate([cells[WIDE:], below[rest]]), np.r_[level[WIDE:], after[rest]], np.r_[begin[WIDE:], start[rest]], np.r_[bound[WIDE:], limit[rest]]
+            cells, level, begin, bound = (np.concatenate([old[WIDE:], new[rest]]) for old, new in ((cells, below), (level, after), (begin, start), (bound, limit)))
         return got_score, got_at
 
     def bounds(self, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        return (np.where(cells >= 0, self.top[np.maximum(cells, 0)], 0).astype(np.int64) * weight).sum(axis=1)
+        return self.worth[cells] @ weight  # -1 is the last entry: nothing
 
 
 def asked_terms(texts: list[str]) -> list[np.ndarray]:
@@ -277,16 +296,17 @@ def search(index: DataFrame, n: int, items: DataFrame, k: int = 10, item_id: str
 
         df = tree_sum(index.select("terms", "counts"), count, (len(known),), np.int64)
         weight = np.floor(1000 * np.log((2 * n + 2) / (2 * df + 1))).astype(np.int64)
-        weight_of = [weight[np.searchsorted(known, t)] for t in terms]
+        terms = [np.searchsorted(known, t) for t in terms]
 
-        def run(batches, rows=rows, terms=terms, weight_of=weight_of):
+        def run(batches, rows=rows, known=known, terms=terms, weight=weight):
             best: list[list[tuple]] = [[] for _ in rows]  # (-score, id or none last, id)
             for batch in batches:
                 for i in range(batch.num_rows):
                     shard = Treap(batch, i)
+                    path, cells = shard.enter(known)
                     for a, own in enumerate(best):
                         last = (-own[-1][0], own[-1][2] if own[-1][2] is not None else np.iinfo(np.int64).max) if len(own) >= k else None
-                        score, at = shard.best(terms[a], weight_of[a], k, last)
+                        score, at = shard.best(path[terms[a]], cells[terms[a]], weight[terms[a]], k, last)
                         if len(score):
                             found = [(-int(s), int(c >= shard.known), int(shard.ids[c]) if c < shard.known else None) for s, c in zip(score, at)]
                             best[a] = sorted([*own, *found], key=lambda r: (r[0], r[1], r[2] or 0))[:k]
