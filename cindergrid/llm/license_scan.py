@@ -211,7 +211,7 @@ def chains(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("covered", T.DoubleType())])
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, least: int = 3, gap: int = 4, cover: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, least: int = 3, gap: int = 8, cover: float = 0.8) -> DataFrame:
     """docs' other columns, n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, first, last, words, covered)."""
     fields = [T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")] + [T.StructField(c, T.StringType()) for c in ("base_labels", "labels")]
     fields += [T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]
