@@ -186,7 +186,7 @@ def test_license_scan(spark):
         (5, "see the GNU General  Public\tLicense", "gpl", 1.0), (6, f"{filler}{gpl} {filler}", "gpl,gpl-3.0-or-later", 1.0),
         (7, f"{filler}{mit.replace('to deal in', 'to have a good time dealing in')}{filler}", "mit", None),
         (8, "Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0", 1.0), (9, "cc by-nd mit license. MIT License, apache license", "apache,cc-by,mit", 1.0),
-        (10, " ".join([mit] * 300), "mit", 1.0), (11, "license software " * 40000, "", None), (12, mit[: len(mit) // 3], "", None), (13, "mit_license mit9 license gnu general public licenses", "", None),
+        (10, " ".join([mit] * 300), "mit", 1.0), (11, "license software " * 40000, "", None), (12, mit[: len(mit) // 3], "", None), (13, "mit_license", "mit", 1.0), (14, "mitlicense mit9 license gnu general public licenses", "", None),
         (5, "see the GNU General  Public\tLicense", "gpl", 1.0), (None, "apache license", "apache", 1.0),
     ]
     table = spark.createDataFrame([(d, t, "clash", 1) for d, t, _, _ in docs], "doc_id long, text string, labels string, n_words int")
