@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from cindergrid.llm import bytewords as bw
 from cindergrid.llm.common import shared_dir, tree_sum
 
-SHARD, FILE, ITEMS, WIDE, FAN = 8 << 20, 4, 8 << 20, 256, 64
+SHARD, ITEMS, WIDE, FAN = 4 << 20, 8 << 20, 256, 64
+#: Row groups of few shards, so that neither writer nor reader holds more.
+STORED = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
 INDEX = "docs long, ids binary, nulls long, terms binary, counts binary, row binary, z binary, kids binary, level binary, top binary"
 ROWS = np.uint64(0xAAAAAAAAAAAAAAAA)
 
@@ -156,7 +158,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if parts:
             yield out()
 
-    docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX).write.option("compression", "zstd").option("maxRecordsPerFile", FILE).parquet(path)
+    docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX).write.options(**STORED).parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path), n
 
 
