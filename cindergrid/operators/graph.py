@@ -23,8 +23,30 @@ def mean_wind(panel: DataFrame, u: str = "u10_mean", v: str = "v10_mean") -> Dat
     return panel.groupBy("cell_id").agg(F.avg(u).alias("u"), F.avg(v).alias("v")).select("cell_id", angle_deg(F.col("v"), F.col("u")).alias("wind_deg"))
 
 
-def median_scale(pairs: DataFrame) -> float:
-    return pairs.agg(F.median("dist_m")).first()[0] or 0.0
+def median_scale(pairs: DataFrame, parts: int = 4096) -> float:
+    """The exact median of dist_m, 0 without one.
+
+    A range of values is parted evenly and its parts counted; the part with the wanted rank is the next range, until it holds one
+    value. No task holds more than a part's count, least and greatest value for each of the parts.
+    """
+    d = F.col("dist_m").cast("double")
+    values = pairs.where(d.isNotNull()).select(d.alias("d"))
+    n, low, high = values.agg(F.count("*"), F.min("d"), F.max("d")).first()
+    if not n:
+        return 0.0
+    rank, upper = (n - 1) // 2, n  # the lower middle's place in the range, and how many values the range holds
+    while low < high:
+        part = F.least(F.lit(parts - 1), F.floor((F.col("d") - low) / (high - low) * parts))
+        counts = values.where(F.col("d").between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+        for r in sorted(counts.collect()):
+            if rank < r.n:
+                low, high, upper = r.low, r.high, r.n
+                break
+            rank -= r.n
+    if n % 2 or rank + 1 < upper:
+        return low
+    after = values.where(F.col("d") > low).agg(F.min("d")).first()[0]
+    return 0.5 * low + 0.5 * after
 
 
 def weighted_edges(pairs: DataFrame, scale: float, wind: DataFrame | None = None, coords: DataFrame | None = None, strength: float = 0.0) -> DataFrame:

@@ -45,10 +45,16 @@ def build_grid(spark, box: tuple, size: float) -> DataFrame:
 
 
 def assign_cells(points: DataFrame, x0: float, y0: float, size: float, nx: int, ny: int, x: str = "x", y: str = "y") -> DataFrame:
-    """points with cell_id: the cell strictly around the point; null outside, on an edge or without coordinates. No join."""
-    i, j = F.floor((F.col(x) - x0) / size), F.floor((F.col(y) - y0) / size)
-    inside = (F.col(x) > x0 + i * size) & (F.col(y) > y0 + j * size) & i.between(0, nx - 1) & j.between(0, ny - 1)
-    return points.withColumn("cell_id", F.when(inside, F.format_string("cell_%d_%d", i, j)))
+    """points with cell_id: the cell strictly around the point, by the bounds that build_grid computes; null outside, on an edge or
+    without coordinates. The quotient gives a candidate, and as it may be off by a rounding error, its neighbours are tried too. No join."""
+
+    def along(c, low, n):
+        near = F.floor((F.col(c) - low) / size)
+        inside = lambda i: (F.col(c) > low + i * size) & (F.col(c) < low + i * size + size) & i.between(0, n - 1)
+        return F.coalesce(*(F.when(inside(i), i) for i in (near - 1, near, near + 1)))
+
+    i, j = along(x, x0, nx), along(y, y0, ny)
+    return points.withColumn("cell_id", F.when(i.isNotNull() & j.isNotNull(), F.format_string("cell_%d_%d", i, j)))
 
 
 def grid_coverage(grid: DataFrame, panel: DataFrame) -> DataFrame:

@@ -1,62 +1,31 @@
-"""Exact nearest neighbours among cells by rings of buckets, and imputation from them."""
+"""Exact nearest neighbours among cells, and imputation from them."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cindergrid.sources.tables import staged
+from cindergrid.operators.nearest import near_pairs
 
 
-def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, width: float | None = None, queries: DataFrame | None = None, on_missing: str = "skip") -> DataFrame:
+def knn_pairs(cells: DataFrame, k: int, include_self: bool = False, queries: DataFrame | None = None, on_missing: str = "skip") -> DataFrame:
     """(source, target, dist_m): each cell's min(k, n - 1) nearest others (k with itself) of cells (cell_id, x, y); ties by target id.
 
-    Cells meet the 3 x 3 buckets around their own. A neighbour list is final when its k-th distance is below the bucket width; cells
-    without one try again with buckets twice as wide, until one bucket covers the extent. Cells with null coordinates take no part or,
-    with on_missing="error", are an error. queries: the sources, where these aren't the cells; a
-    source that is a cell is its own neighbour then.
+    Cells with null coordinates take no part or, with on_missing="error", are an error. queries: the sources, where these aren't the
+    cells; a source that is a cell is its own neighbour then. Cells meet in the leaves of a counted tree (nearest.py).
     """
     if on_missing == "error" and (lost := cells.where("x is null or y is null").first()):
         raise ValueError(f"no coordinates for {lost.cell_id}")
-    placed = lambda df: staged(df.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"]))
-    cells = placed(cells)
-    asked = cells if queries is None else placed(queries)
+    placed = lambda df: df.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["cell_id"])
     include_self = include_self or queries is not None
-    n = cells.count()
-    x0, x1, y0, y1 = cells.union(asked).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not n:
-        return cells.select(F.col("cell_id").alias("source"), F.col("cell_id").alias("target"), F.lit(0.0).alias("dist_m"))
-    extent = max(x1 - x0, y1 - y0, 1e-9)
-    width = width or max(math.sqrt(max((x1 - x0) * (y1 - y0), extent * extent / n) * (k + 1) / n), extent / 1e6)
-    wanted = min(k, n if include_self else n - 1)
-    bucket = lambda c, low: F.floor((F.col(c) - low) / width).cast("long")
-    todo, done = asked, None
-    while True:
-        steps = F.array(*map(F.lit, (-1, 0, 1)))
-        own = todo.select(F.col("cell_id").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"), bucket("x", x0).alias("bx"), bucket("y", y0).alias("by"))
-        other = cells.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).select(F.col("cell_id").alias("target"), "x", "y", (bucket("x", x0) + F.col("dx")).alias("bx"), (bucket("y", y0) + F.col("dy")).alias("by"))
-        pairs = own.join(other, ["bx", "by"])
-        if not include_self:
-            pairs = pairs.where("source <> target")
-        pairs = pairs.select("source", "target", F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2).alias("dist_m"))
-        near = pairs.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("dist_m", "target"))).where(F.col("r") <= k)
-        if width > extent:
-            final = near
-        else:
-            sure = F.max(F.when(F.col("r") == wanted, F.col("dist_m"))).over(W.partitionBy("source"))
-            final = near.withColumn("last", sure).where(F.col("last") < width)
-        final = final.select("source", "target", "dist_m")
-        final = staged(final)
-        done = final if done is None else done.union(final)
-        if width > extent:
-            return done
-        todo = asked.join(done.select(F.col("source").alias("cell_id")).distinct(), "cell_id", "left_anti")
-        if wanted < 1 or todo.isEmpty():
-            return done
-        width *= 2
+    wanted = max(k, 1) if include_self else k + 1  # a cell is among its own nearest
+    pairs = near_pairs(placed(cells if queries is None else queries), placed(cells), ["x", "y"], wanted, ["cell_id"], same=queries is None)
+    pairs = pairs.select(F.col("q_cell_id").alias("source"), F.col("t_cell_id").alias("target"), F.sqrt((F.col("t_x") - F.col("q_x")) ** 2 + (F.col("t_y") - F.col("q_y")) ** 2).alias("dist_m"))
+    if not include_self:
+        pairs = pairs.where("source <> target")
+    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("dist_m", "target"))).where(F.col("r") <= k)
+    return near.select("source", "target", "dist_m")
 
 
 def knn_impute(static: DataFrame, centroids: DataFrame, k: int, numeric: list[str], categorical: list[str] = (), panel_cells: DataFrame | None = None, keep_new_cells: bool = False) -> DataFrame:

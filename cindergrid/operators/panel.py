@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cindergrid.functions.expressions import haversine_m
+from cindergrid.operators.blocks import BLOCK, block_of, carried
+from cindergrid.operators.nearest import near_pairs
 from cindergrid.operators.places import numbered
 from cindergrid.sources.tables import NUMERIC
 
@@ -15,13 +17,16 @@ WEATHER_MARKS = ("t2m", "wind_speed", "u10", "v10", "wind_dir_deg")
 STATION_COLUMNS = ("t2m", "u10", "v10", "air_temperature", "temperature", "t2m_c")
 #: Which statistics the weather table has of each column.
 WEATHER_STATISTICS = {"t2m": ("mean", "max", "std"), "wind_speed": ("mean", "max", "std"), "u10": ("mean",), "v10": ("mean",), "wind_dir_deg": ("mean",)}
+#: Values of a category that get columns of their own, at most.
+WIDEST = 2000
 STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
 
 def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[str] = (), values: dict[str, list[str]] | None = None) -> DataFrame:
     """Per cell mean, sample std, min, max of numbers; mode (ties: smallest) and shares of categories.
 
-    A share's column for each of the given values, else for each value there is; category_shares fits columns of many values.
+    A share's column for each of the given values, else for each value there is: these are counted first, and more than WIDEST of
+    them are an error; category_shares fits columns of many values.
     """
     points = points.where("cell_id is not null")
     aggs = [f(c).alias(f"{c}_{n}") for c in numeric for n, f in STATISTICS.items()]
@@ -29,7 +34,9 @@ def aggregate_static(points: DataFrame, numeric: list[str], categorical: list[st
         aggs.append(F.mode(c, True).alias(f"{c}_mode"))
         known = (values or {}).get(c)
         if known is None:
-            known = sorted(r[0] for r in points.where(F.col(c).isNotNull()).select(c).distinct().collect())
+            known = sorted(r[0] for r in points.where(F.col(c).isNotNull()).select(c).distinct().limit(WIDEST + 1).collect())
+            if len(known) > WIDEST:
+                raise ValueError(f"{c} has more than {WIDEST} values: name those that get columns, or use category_shares")
         aggs += [F.try_divide(F.count_if(F.col(c) == v), F.count(c)).alias(f"{c}_prop_{v}") for v in known]
     return points.groupBy("cell_id").agg(*aggs) if aggs else points.select("cell_id").distinct()
 
@@ -69,15 +76,10 @@ def union_keys(*tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def fill_weather(panel: DataFrame) -> DataFrame:
-    """Weather columns carried forward, then backward, per cell in time order: one sort for both directions.
-
-    Only leading nulls are left for the way back; they take the cell's first value, which one pass over the cell finds.
-    """
-    back = W.partitionBy("cell_id").orderBy("datetime_bin").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("cell_id").orderBy("datetime_bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def fill_weather(panel: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Weather columns carried forward, then backward, per cell in time order, by blocks of hours."""
     cols = [c for c in panel.columns if any(m in c for m in WEATHER_MARKS)]
-    return panel.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in cols})
+    return carried(panel, cols, F.unix_micros(F.col("datetime_bin").cast("timestamp")) / 3_600_000_000, block).select(*panel.columns) if cols else panel
 
 
 def join_panel_sparse(weather: DataFrame, fire: DataFrame, fill_order: str = "zero_first") -> DataFrame:
@@ -104,27 +106,17 @@ def distinct_stations(weather: DataFrame, lat: str = "lat", lon: str = "lon") ->
     return numbered(places, ["lat", "lon"], "station_idx").select("station_idx", "lat", "lon")
 
 
-def nearest_station(cells: DataFrame, stations: DataFrame, step: float = 1.0, turned: DataFrame | None = None) -> DataFrame:
+def nearest_station(cells: DataFrame, stations: DataFrame) -> DataFrame:
     """(cell_id, station_idx, dist_m) of cells (cell_id, lon, lat); ties go to the smaller (lat, lon).
 
-    Cells and stations meet on tiles of `step` degrees: stations are copied to the eight tiles around their own. A cell whose nearest
-    station there lies within what one tile guarantees is done; the rest try again on tiles eight times as wide, at last on one. Stations
-    are also copied 360 degrees to either side, so that the seam at 180 degrees parts nothing.
+    Places are points of the unit sphere: the chord between two grows with the distance on the ground, without a seam or a pole.
     """
-    if turned is None:
-        turned = stations.withColumn("lon_at", F.explode(F.array(F.col("lon") - 360, F.col("lon") + F.lit(0.0), F.col("lon") + 360)))
-    tile = lambda c, d: F.floor(F.col(c) / step).cast("long") + d
-    near = turned.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select("station_idx", F.col("lat").alias("slat"), F.col("lon").alias("slon"), tile("lat", F.col("dy")).alias("ty"), tile("lon_at", F.col("dx")).alias("tx"))
-    own = cells.select("cell_id", "lat", "lon", tile("lat", F.lit(0)).alias("ty"), tile("lon", F.lit(0)).alias("tx"))
-    pick = lambda df: df.withColumn("d", haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).groupBy("cell_id").agg(F.min(F.struct("d", "slat", "slon", "station_idx")).alias("best"), F.max(F.abs("lat")).alias("at"))
-    found = pick(own.join(near, ["ty", "tx"]))
-    sure = F.lit(float("inf")) if step >= 400 else F.radians(F.lit(step)) * 6371000.0 * F.cos(F.radians(F.least(F.lit(89.0), F.col("at") + step))) * 0.99
-    done = found.where(F.col("best.d") < sure).select("cell_id", F.col("best.station_idx").alias("station_idx"), F.col("best.d").alias("dist_m"))
-    left = cells.join(done, "cell_id", "left_anti")
-    if step >= 400 or left.isEmpty():
-        return done
-    return done.union(nearest_station(left, stations, step * 8, turned))
+    at = lambda df: df.dropna(subset=["lat", "lon"]).withColumns({"ux": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "uy": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "uz": F.sin(F.radians("lat"))})
+    own = at(cells.select("cell_id", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon"))).dropDuplicates(["cell_id"]))
+    near = near_pairs(own, at(stations.select("station_idx", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon")))), ["ux", "uy", "uz"], 1, ["lat", "lon", "station_idx"])
+    metres = haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("t_lat"), F.col("t_lon"))
+    best = near.groupBy(F.col("q_cell_id").alias("cell_id")).agg(F.min(F.struct(metres.alias("d"), F.col("t_lat"), F.col("t_lon"), F.col("t_station_idx"))).alias("best"))
+    return best.select("cell_id", F.col("best.t_station_idx").alias("station_idx"), F.col("best.d").alias("dist_m"))
 
 
 def aggregate_station_weather(weather: DataFrame, stations: DataFrame) -> DataFrame:
@@ -134,9 +126,15 @@ def aggregate_station_weather(weather: DataFrame, stations: DataFrame) -> DataFr
     return weather.join(stations, ["lat", "lon"]).where("datetime_bin is not null").groupBy("station_idx", "datetime_bin").agg(*aggs, F.count("*").alias("_cnt_sum"))
 
 
-def station_fanout(station_weather: DataFrame, mapping: DataFrame) -> DataFrame:
-    """A row for each cell and bin of the cell's station."""
-    return station_weather.join(mapping.select("cell_id", "station_idx"), "station_idx").drop("station_idx")
+def station_fanout(station_weather: DataFrame, mapping: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A row for each cell and bin of the cell's station.
+
+    The mapping is copied to the blocks of hours that its stations have, and both meet by station and block, so a station with many
+    cells or bins is shared out.
+    """
+    timed = station_weather.withColumn("__block", block_of(F.unix_seconds(F.col("datetime_bin").cast("timestamp")) / 3600, block))
+    cells = mapping.select("cell_id", "station_idx").join(timed.select("station_idx", "__block").distinct(), "station_idx")
+    return timed.join(cells, ["station_idx", "__block"]).drop("station_idx", "__block")
 
 
 def restrict_to_panel(fire: DataFrame, panel: DataFrame) -> DataFrame:

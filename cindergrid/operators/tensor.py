@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cindergrid.operators.blocks import BLOCK, carried
 from cindergrid.operators.places import numbered
 
 
@@ -30,22 +31,18 @@ def node_index(panel: DataFrame) -> DataFrame:
     return numbered(panel.select("cell_id").distinct(), ["cell_id"], "node_idx")
 
 
-def build_tensor(panel: DataFrame, features: list[str], horizon: int = 24, step: int = 1, low: int | None = None, high: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def build_tensor(panel: DataFrame, features: list[str], horizon: int = 24, step: int = 1, low: int | None = None, high: int | None = None, nodes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Axis with filled features and y_current, y_future.
 
     An absent slot is 0; a null in a slot that is there takes the slot before (zeros included), leading ones the first value. y_future
-    is 1 where the cell doesn't burn and burns within the next `horizon` positions.
+    is 1 where the cell doesn't burn and burns within the next `horizon` positions. Nodes are shared out by blocks of positions.
     """
     rows = panel.groupBy("cell_id", "epoch_hr").agg(*(F.max(c).alias(c) for c in features), F.max("fire_any").alias("fire_any"))
     out = tensor_axis(panel, step, low, high, nodes).join(rows.withColumn("there", F.lit(True)), ["cell_id", "epoch_hr"], "left")
-    w = W.partitionBy("cell_id").orderBy("t_idx")
-    # only leading nulls are left after the way forward: they take the node's first value
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    out = out.withColumns({c: F.when(F.col("there"), F.col(c)).otherwise(0.0) for c in features})
-    out = out.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.lit(0.0)).cast("float") for c in features})
-    out = out.withColumn("y_current", F.coalesce(F.col("fire_any").cast("int"), F.lit(0)))
-    later = F.max("y_current").over(w.rowsBetween(1, horizon)) if horizon >= 1 else F.lit(0)
-    return out.withColumn("y_future", F.when(F.col("y_current") == 0, F.coalesce(later, F.lit(0))).otherwise(0)).drop("there", "fire_any")
+    out = out.withColumns({c: F.when(F.col("there"), F.col(c)).otherwise(0.0) for c in features} | {"y_current": F.coalesce(F.col("fire_any").cast("int"), F.lit(0))})
+    out = carried(out, features, F.col("t_idx"), block, marked=F.col("y_current") == 1, reach=horizon)
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)).cast("float") for c in features})
+    return out.withColumn("y_future", F.when((F.col("y_current") == 0) & F.col("__soon"), 1).otherwise(0)).drop("there", "fire_any", "__soon")
 
 
 def tensor_static(nodes: DataFrame, static: DataFrame) -> DataFrame:
@@ -60,11 +57,19 @@ def pack_tensor(tensor: DataFrame, features: list[str]) -> DataFrame:
 
 
 def tensor_stats(tensor: DataFrame, features: list[str]) -> DataFrame:
-    """One row: least, greatest and mean feature value, nulls, positives, share of positives, nodes and times."""
-    long = [F.min(F.least(*features)) if len(features) > 1 else F.min(features[0]), F.max(F.greatest(*features)) if len(features) > 1 else F.max(features[0])]
-    mean = sum(F.avg(c) for c in features) / len(features)
-    nulls = sum(F.count_if(F.col(c).isNull()) for c in features)
-    return tensor.agg(long[0].alias("x_min"), long[1].alias("x_max"), mean.alias("x_mean"), nulls.alias("x_nulls"), F.sum("y_future").alias("positives"), F.avg("y_future").alias("positive_share"), F.count_distinct("cell_id").alias("nodes"), F.count_distinct("t_idx").alias("times"))
+    """One row: least, greatest and mean feature value, nulls, positives, share of positives, nodes, times, and whether every node has all times.
+
+    One pass: sums for each node, then over the nodes. Times are the positions up to the last.
+    """
+    least, most = (F.least, F.greatest) if len(features) > 1 else (lambda c: F.col(c),) * 2
+    each = [F.min(least(*features)).alias("x_min"), F.max(most(*features)).alias("x_max"), F.sum("y_future").alias("positives"), F.count("*").alias("cells"), F.max("t_idx").alias("last")]
+    each += [f(c).alias(f"__{n}_{i}") for i, c in enumerate(features) for n, f in (("sum", lambda c: F.sum(F.col(c).cast("double"))), ("n", F.count))]
+    nodes = tensor.groupBy("cell_id").agg(*each)
+    mean = sum(F.try_divide(F.sum(f"__sum_{i}"), F.sum(f"__n_{i}")) for i in range(len(features))) / len(features)
+    nulls = sum(F.sum("cells") - F.sum(f"__n_{i}") for i in range(len(features)))
+    times = F.max("last") + 1
+    totals = [F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), mean.alias("x_mean"), nulls.alias("x_nulls"), F.sum("positives").alias("positives"), (F.sum("positives") / F.sum("cells")).alias("positive_share")]
+    return nodes.agg(*totals, F.count("*").alias("nodes"), times.cast("long").alias("times"), ((F.min("cells") == F.max("cells")) & (F.max("cells") == times)).alias("full_axis"))
 
 
 def static_stats(static: DataFrame) -> DataFrame:
@@ -76,6 +81,5 @@ def static_stats(static: DataFrame) -> DataFrame:
 
 def tensor_checks(tensor: DataFrame, features: list[str], static: DataFrame) -> DataFrame:
     """tensor_stats and static_stats with same_nodes and full_axis: whether both have as many nodes, and every node all times."""
-    rows = tensor.agg(F.count("*").alias("cells"))
-    both = tensor_stats(tensor, features).crossJoin(static_stats(static)).crossJoin(rows)  # one row each
-    return both.withColumns({"same_nodes": F.col("nodes") == F.col("static_nodes"), "full_axis": F.col("cells") == F.col("nodes") * F.col("times")}).drop("cells")
+    both = tensor_stats(tensor, features).crossJoin(static_stats(static))  # one row each
+    return both.withColumn("same_nodes", F.col("nodes") == F.col("static_nodes"))

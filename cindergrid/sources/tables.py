@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,13 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, **facts) -> tuple[DataFrame, dict]:
+    """df as staged, and aggregates of it that the same pass takes down."""
+    seen = Observation()
+    out = staged(df.observe(seen, *(c.alias(n) for n, c in facts.items())))
+    return out, seen.get
+
+
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet stage; NaN becomes null. A missing path is an error."""
     return nan_to_null(spark.read.parquet(path))
