@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.catalog_sql import ORACLE  # noqa: F401
 from cindergrid.functions import expressions as x
-from cindergrid.operators import edges, evaluate, graph, grid, knn, panel, tensor
+from cindergrid.operators import boosting, edges, evaluate, graph, grid, knn, panel, tensor
 from cindergrid.plans import spread as s
 from cindergrid.sources import tables
 
@@ -204,21 +204,40 @@ def checked_tensor(sp, d):
 
 
 def trained(sp, d):
-    """Boosted trees fitted on the training part of the examples, their features, and the test part."""
+    """Boosted trees fitted on the training part of the examples with the operator's depth, rate and sampling, and the test part.
+
+    Training may stop early by the test part, as the reference job does; ROUNDS bounds the registered queries' time.
+    """
     e = tables.staged(evaluate.time_split(s.examples(STAGE(sp, d), s.static_table(sp, d))))
-    features = edges.select_feature_columns(e)
-    return evaluate.train_spread_model(e.where("split = 'train'"), features, rounds=10, depth=4, rate=0.3), features, e.where("split = 'test'")
+    test = e.where("split = 'test'")
+    keys = ["time_epoch", "source", "target"]
+    return evaluate.train_spread_model(e.where("split = 'train'"), edges.select_feature_columns(e), test, rounds=ROUNDS, key=keys), test
 
 
 def scored_examples(sp, d):
-    model, features, test = trained(sp, d)
-    return rounded(evaluate.score_edges(model, test, features).select("time_epoch", "source", "target", "label", "pred_proba"))
+    """The test part scored by the trees, which are written and read again."""
+    model, test = trained(sp, d)
+    path = tables.shared_path(sp)
+    boosting.write_trees(sp, model, path)
+    return rounded(evaluate.score_edges(boosting.read_trees(sp, path), test).select("time_epoch", "source", "target", "label", "pred_proba"))
 
 
 def top_features(sp, d):
-    model, features, _ = trained(sp, d)
-    return rounded(evaluate.top_features(model, features, 10))
+    return rounded(evaluate.top_features(trained(sp, d)[0].table(sp), 10))
+
+
+def boosting_sums(sp, d):
+    """Sums of gradient and curvature by feature and bin at the root of the first tree, in units of 2**-30, for fixed cuts."""
+    e = tables.staged(s.labelled(STAGE(sp, d)).select("dist_m", "frp_src", "label"))
+    weight = float(evaluate.class_weight(e).first().weight)
+    g, h = boosting.gradients("logistic", F.lit(0.0), F.col("label"), weight)
+    bins = {f"b{i}": boosting.bin_of(F.col(c), cuts) for i, (c, cuts) in enumerate(SUM_CUTS.items())}
+    sums = boosting.histogram(e.withColumns(bins | {"g": g, "h": h}), F.lit(0), [0, 1], 8)
+    return sums.select((F.col("code") / 8).cast("int").alias("feature"), (F.col("code") % 8).alias("bin"), "g", "h", "n")
+
 
+ROUNDS = 8
+SUM_CUTS = {"dist_m": [1200.0, 1800.0, 2500.0], "frp_src": [50.5, 100.5, 200.5, 400.5]}
 
 QUERIES = {
     "csv_points": csv_points,
@@ -259,6 +278,7 @@ QUERIES = {
     "stratified_split": lambda sp, d: split_rows(sp, d, lambda e: evaluate.stratified_split(tables.staged(e))),
     "scored_examples": scored_examples,
     "top_features": top_features,
+    "boosting_sums": boosting_sums,
     "average_precision": lambda sp, d: rounded(s.evaluation(STAGE(sp, d))),
     "pr_curve": lambda sp, d: rounded(evaluate.pr_curve(tables.staged(s.scored(STAGE(sp, d)).select("pred_proba", "label")))),
     "confusion_matrix": lambda sp, d: evaluate.confusion_matrix(s.scored(STAGE(sp, d))),

@@ -156,6 +156,14 @@ ke AS (SELECT source, avg(elevation_mean) AS e FROM ky JOIN st ON st.cell_id = t
 kl AS (SELECT source, landcover, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, landcover) AS o FROM ky JOIN tm ON tm.cell_id = target AND tm.r = 1 WHERE ky.r <= 5 GROUP BY 1, 2)
 SELECT wn.cell_id, round(coalesce(st.elevation_mean, e, (SELECT avg(elevation_mean) FROM st)), 6) AS elevation_mean, coalesce(tm.landcover, kl.landcover) AS landcover_mode, round(slope_mean, 6) AS slope_mean
 FROM wn LEFT JOIN st ON st.cell_id = wn.cell_id LEFT JOIN tm ON tm.cell_id = wn.cell_id AND tm.r = 1 LEFT JOIN ke ON ke.source = wn.cell_id LEFT JOIN kl ON kl.source = wn.cell_id AND o = 1""",
+    "boosting_sums": EDGES + """,
+wt AS (SELECT greatest(1.0::DOUBLE, count(*) FILTER (label = 0) / greatest(1, count(*) FILTER (label = 1))) AS w FROM la),
+gh AS (
+  SELECT d, frp_src, CAST(round((0.5::DOUBLE - label) * CASE WHEN label = 1 THEN w ELSE 1 END * 1073741824) AS BIGINT) AS g,
+    CAST(round(0.25::DOUBLE * CASE WHEN label = 1 THEN w ELSE 1 END * 1073741824) AS BIGINT) AS h FROM la, wt)
+SELECT 0 AS feature, CAST(d > 1200 AS INT) + CAST(d > 1800 AS INT) + CAST(d > 2500 AS INT) AS bin, CAST(sum(g) AS BIGINT) AS g, CAST(sum(h) AS BIGINT) AS h, count(*) AS n FROM gh GROUP BY 2
+UNION ALL
+SELECT 1, CAST(frp_src > 50.5 AS INT) + CAST(frp_src > 100.5 AS INT) + CAST(frp_src > 200.5 AS INT) + CAST(frp_src > 400.5 AS INT), CAST(sum(g) AS BIGINT), CAST(sum(h) AS BIGINT), count(*) FROM gh GROUP BY 2""",
     "example_features": EXAMPLES + f" SELECT h AS time_epoch, source, target, {fixed('d AS dist_m', 'frp_src', 'coalesce(frp_tgt, 0) AS frp_tgt', 'trend AS frp_src_trend', 'mf AS mean_frp_neighbors', 'angle AS vec_angle_deg', 'cos(radians(wind_src - angle)) AS wind_align')}, true AS fire_any_src, false AS fire_any_tgt, false AS target_burning_at_t, bc AS burning_neighbor_count, label, {ENDS}, 1000.0::DOUBLE * (ti - si) AS vec_dx, 1000.0::DOUBLE * (tj - sj) AS vec_dy, {fixed(*(f'coalesce(a.{c}, 0) AS {c}' for c in STATIC), *(f'coalesce(z.{c}, 0) AS {c}_tgt' for c in STATIC))} FROM ex LEFT JOIN st a ON a.cell_id = source LEFT JOIN st z ON z.cell_id = target",
     "example_table": EXAMPLES + f" SELECT {fixed('d AS dist_m', 'frp_src', 'trend AS frp_src_trend', 'mf AS mean_frp_neighbors', 'cos(radians(wind_src - angle)) AS wind_align', 'coalesce(elevation_mean, 0) AS elevation_mean_tgt')}, bc::DOUBLE AS burning_neighbor_count, 0.0::DOUBLE AS humidity FROM ex LEFT JOIN st ON st.cell_id = target",
     "balanced_examples": EDGES + ", o AS (SELECT h, source, target, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', h, source, target, '42'))) AS r, sum(label) OVER () AS n FROM la) SELECT h AS time_epoch, source, target, label FROM o WHERE label = 1 OR r <= greatest(1, n)",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cindergrid.operators.boosting import Trees, boost, with_margin
 from cindergrid.operators.places import hash_places
 from cindergrid.sources.tables import staged
 
@@ -44,30 +45,25 @@ def label_counts(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("total"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives"))
 
 
-def train_spread_model(train: DataFrame, features: list[str], rounds: int = 500, depth: int = 6, rate: float = 0.05, subsample: float = 0.8):
-    """Boosted trees on weighted classes, as a pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+def train_spread_model(train: DataFrame, features: list[str], validation: DataFrame | None = None, rounds: int = 500, depth: int = 6, rate: float = 0.05, subsample: float = 0.8, columns: float = 0.8, patience: int = 25, objective: str = "logistic", **more) -> Trees:
+    """Boosted trees on weighted classes, or with objective="focal" on the focal loss; null features count as 0.
 
+    With a validation table, training stops after `patience` rounds without a better average precision there.
+    """
     weight = float(class_weight(train).first().weight)
-    rows = train.na.fill(0, features).withColumn("w", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    trees = GBTClassifier(labelCol="label", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
-
-
-def score_edges(model, edges: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+    full = lambda df: df.na.fill(0, features)
+    return boost(full(train), features, None if validation is None else full(validation), rounds=rounds, depth=depth, rate=rate, subsample=subsample, columns=columns, patience=patience, objective=objective, weight=weight, **more)
 
-    out = model.transform(edges.na.fill(0, [c for c in features if c in edges.columns]))
-    return out.withColumn("pred_proba", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
+def score_edges(model: Trees, edges: DataFrame) -> DataFrame:
+    """edges with pred_proba."""
+    return with_margin(model, edges, "__margin").withColumn("pred_proba", 1 / (1 + F.exp(-F.col("__margin")))).drop("__margin")
 
-def top_features(model, features: list[str], n: int = 20) -> DataFrame:
-    from pyspark.sql import SparkSession
 
-    rows = [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+def top_features(trees: DataFrame, n: int = 20) -> DataFrame:
+    """(feature, importance) of a table of trees: the mean gain of a feature's splits, as a share of all features' means."""
+    gain = trees.where("feature is not null").groupBy("feature").agg(F.avg("gain").alias("gain"))
+    return gain.join(F.broadcast(gain.agg(F.sum("gain").alias("all")))).select("feature", (F.col("gain") / F.col("all")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(n)
 
 
 def prefix_counts(scored: DataFrame) -> DataFrame:

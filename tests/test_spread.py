@@ -142,10 +142,10 @@ def test_model_learns_and_scores(spark):
     e = spark.createDataFrame(rows, "time_epoch long, source string, target string, dist_m double, frp_src double, label int")
     features = edges.select_feature_columns(e)
     assert features == ["dist_m", "frp_src"]
-    model = evaluate.train_spread_model(e, features, rounds=3, depth=2)
-    got = evaluate.score_edges(model, e, features).collect()
+    model = evaluate.train_spread_model(e, features, rounds=3, depth=2, columns=1.0)
+    got = evaluate.score_edges(model, e).collect()
     assert all((r.pred_proba >= 0.5) == bool(r.label) and 0 <= r.pred_proba <= 1 for r in got)
-    assert [r.feature for r in evaluate.top_features(model, features, 1).collect()] == ["dist_m"]
+    assert [r.feature for r in evaluate.top_features(model.table(spark), 1).collect()] == ["dist_m"]
 
 
 def test_feature_list_file_or_columns(spark, tmp_path):
