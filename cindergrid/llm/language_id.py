@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from cindergrid.llm import bytewords as bw
 
 WINDOW, PIECE, FILTERS, WIDTHS = 256, 240, 8, (2, 3, 4)
-SLICE = 1 << 18
+SLICE, AT_ONCE = 1 << 18, 1024  # bytes of texts, windows of a text
 UND = "und"
 
 
@@ -33,7 +33,10 @@ def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     length = np.diff(offsets)
     begin = offsets[:-1] + 4 * np.arange(len(length))
     line = np.zeros(len(raw) + 4 * len(length), np.uint8)
-    line[np.arange(len(raw)) + np.repeat(4 * np.arange(len(length)), length)] = raw
+    if len(length) == 1:  # a long text is alone
+        line[: len(raw)] = raw
+    else:
+        line[np.arange(len(raw)) + np.repeat(4 * np.arange(len(length)), length)] = raw
     count = -(-length // WINDOW)
     text = np.repeat(np.arange(len(length)), count)
     nth = np.arange(count.sum()) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
@@ -62,11 +65,16 @@ class ByteNet:
     def probabilities(self, raw: np.ndarray, offsets: np.ndarray, tables) -> np.ndarray:
         """One row of probabilities for each text."""
         line, start, text, size = windows(raw, offsets)
-        # responses at the window's own bytes alone; those of its last bytes reach into what follows in the text, or zeros
-        pooled = np.maximum.reduceat(self.responses(line, tables), np.stack([start, start + size], axis=1).ravel(), axis=0)[::2] + self.bias
-        logit = np.maximum(pooled, 0) @ self.weights + self.offset
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p *= (size / p.sum(axis=1))[:, None]
+        parts = []
+        for a in range(0, len(start), AT_ONCE):
+            low, own, long = start[a], start[a : a + AT_ONCE] - start[a], size[a : a + AT_ONCE]
+            # responses at the window's own bytes alone; those of its last bytes reach into what follows in the text, or zeros
+            responses = self.responses(line[low : low + own[-1] + long[-1] + 4], tables)
+            pooled = np.maximum.reduceat(responses, np.stack([own, own + long], axis=1).ravel(), axis=0)[::2] + self.bias
+            logit = np.maximum(pooled, 0) @ self.weights + self.offset
+            p = np.exp(logit - logit.max(axis=1, keepdims=True))
+            parts.append(p * (long / p.sum(axis=1))[:, None])
+        p = np.concatenate(parts)
         first = np.searchsorted(text, np.arange(len(offsets) - 1))
         return np.add.reduceat(p, first, axis=0) / np.diff(offsets)[:, None]
 
@@ -140,8 +148,9 @@ def fit(docs: DataFrame, learn: Column, *, max_docs: int = 3000, pieces: int = 4
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(1, max_docs // max(1, len(sizes)))
     if any(n > each for n in sizes.values()):
-        least = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 20) * min(1.0, each / n)))))
-        rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(least, F.col("lang")))
+        least = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
+        # the hash as a number in [0, 1); rows of one id and text have one hash, so they count once
+        rows = rows.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.element_at(least, F.col("lang"))).distinct()
     length = F.length("text")
     places = F.array_distinct(F.array(*(F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.lit(1), length - PIECE)).cast("int") for i in range(pieces))))
     found = rows.select("lang", F.explode(places).alias("at"), "text").select("lang", F.substring("text", F.col("at") + 1, F.lit(PIECE)).alias("piece"))

@@ -5,7 +5,8 @@ pieces never cross from a non-space into a space. So texts are cut there into ch
 each task looks its chunks up by an exact-case 64-bit hash in a table, lets the library segment a chunk it hasn't seen,
 and joins the ids back by position with array operations. Decoding joins the chunks' decoded texts the same way. Texts
 with a literal U+2581, which the library reads as a space, and all texts under other vocabularies, go through the library
-whole. The table is emptied when it holds TABLE chunks, which bounds its memory; what it returns doesn't depend on it.
+whole. The table is emptied when it holds TABLE chunks or IDS ids, so it never holds more than these and what one
+slice of SLICE bytes (or one longer text) adds; what it returns doesn't depend on it.
 
 A null text counts as empty: begin and end ids only, decoded to an empty text.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from cindergrid.llm import bytewords as bw
 
-SLICE, TABLE = 1 << 20, 400_000
+SLICE, TABLE, IDS = 1 << 20, 400_000, 4_000_000
 MARK = "▁"
 ODD = MARK.encode()
 
@@ -114,7 +115,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", with_ids: boo
                     out_text += [x for _, x in both]
                     yield made_of(batch.slice(lo, hi - lo), out_ids, out_text)
                     continue
-                if len(table.same) > TABLE:
+                if len(table.same) > TABLE or len(table.ids) > IDS:
                     table.clear()
                 line, begin = spaced(part, at)
                 space = line == 32
