@@ -171,7 +171,9 @@ def node_coords(sp, d):
 
 def adjacency_files(sp, d):
     p, path = STAGE(sp, d), tables.shared_path(sp)
-    tables.write_adjacency(s.spread_graph(p, "rw"), tensor.node_index(p), {"k": s.K, "normalize": "rw"}, path)
+    pr = tables.staged(s.pairs(p))
+    scale = graph.median_scale(pr)
+    tables.write_adjacency(graph.normalize_adjacency(graph.symmetrize(graph.weighted_edges(pr, scale))), tensor.node_index(p), {"k": s.K, "normalize": "rw"}, path, scale)
     index = tables.read_stage(sp, f"{path}/nodes")
     e = tables.read_stage(sp, f"{path}/edges")
     for side in ("src", "dst"):
@@ -182,11 +184,18 @@ def adjacency_files(sp, d):
 def tensor_files(sp, d):
     """Each node's packed rows, of the tensor written and read back."""
     path = tables.shared_path(sp)
-    tables.write_tensor(s.spread_tensor(STAGE(sp, d)), {"features": list(s.TENSOR_FEATURES), "horizon": s.HORIZON}, path)
-    features = tables.read_json(sp, f"{path}/meta")["features"]
-    packed = tensor.pack_tensor(tables.read_stage(sp, f"{path}/tensor"), features)
+    tables.write_tensor(s.spread_tensor(STAGE(sp, d)), list(s.TENSOR_FEATURES), {"horizon": s.HORIZON}, path, buckets=8)
+    blocks, _ = tables.read_tensor(sp, path)
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, v: a + v).cast("long")
-    return rounded(packed.select("cell_id", F.size("x").alias("times"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0]).alias("frp_sum"), total("y_current").alias("burning"), total("y_future").alias("positives")), 2)
+    each = blocks.select("cell_id", F.size("x").alias("times"), F.aggregate("x", F.lit(0.0), lambda a, v: a + v[0]).alias("frp_sum"), total("y_current").alias("burning"), total("y_future").alias("positives"))
+    return rounded(each.groupBy("cell_id").agg(F.sum("times").cast("int").alias("times"), *(F.sum(c).alias(c) for c in ("frp_sum", "burning", "positives"))), 2)
+
+
+def tensor_static_files(sp, d):
+    """The static block and the nodes' index, written with the tensor and read back."""
+    p, path = STAGE(sp, d), tables.shared_path(sp)
+    tables.write_tensor(s.spread_tensor(p), list(s.TENSOR_FEATURES), {}, path, tensor.tensor_static(p, s.static_table(sp, d)), tensor.node_index(p), buckets=8)
+    return rounded(tables.read_stage(sp, f"{path}/nodes").join(tables.read_stage(sp, f"{path}/static"), "cell_id").select("node_idx", "cell_id", "elevation_mean", "slope_mean"), 2)
 
 
 def all_nodes(sp, d):
@@ -300,6 +309,7 @@ QUERIES = {
     "tensor": lambda sp, d: rounded(s.spread_tensor(STAGE(sp, d)), 4),
     "tensor_all_nodes": all_nodes,
     "tensor_files": tensor_files,
+    "tensor_static_files": tensor_static_files,
     "tensor_static": lambda sp, d: rounded(tensor.tensor_static(P(sp, d), s.static_table(sp, d))),
     "tensor_stats": checked_tensor,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cindergrid.functions.expressions import UTM_EAST, UTM_SCALE, WGS84_F, _series
+#: Fixed values, as published for WGS84: rectifying radius, and the transverse Mercator series' coefficients by multiple of the angle.
+UTM_EAST, UTM_SCALE, WGS84_F = 500000.0, 0.9996, 1 / 298.257223563
+RADIUS = 6367449.145823415
+ALPHA = (8.377318206244698e-4, 7.608527773572307e-7, 1.197645503329453e-9, 2.429170607201359e-12)
 
 POINTS = """
 WITH pt AS (
@@ -87,7 +90,7 @@ def bin_of(column: str = "b") -> str:
 
 def projection() -> str:
     """The transverse Mercator series of the library's projection, written out."""
-    radius, alpha, _ = _series()
+    radius, alpha = RADIUS, ALPHA
     e = (WGS84_F * (2 - WGS84_F)) ** 0.5
     wave = lambda a, b: "".join(f" + {k!r} * {a}({2 * j} * xi) * {b}({2 * j} * eta)" for j, k in enumerate(alpha, 1))
     return PANEL + f""",
@@ -156,6 +159,7 @@ ke AS (SELECT source, avg(elevation_mean) AS e FROM ky JOIN st ON st.cell_id = t
 kl AS (SELECT source, landcover, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, landcover) AS o FROM ky JOIN tm ON tm.cell_id = target AND tm.r = 1 WHERE ky.r <= 5 GROUP BY 1, 2)
 SELECT wn.cell_id, round(coalesce(st.elevation_mean, e, (SELECT avg(elevation_mean) FROM st)), 6) AS elevation_mean, coalesce(tm.landcover, kl.landcover) AS landcover_mode, round(slope_mean, 6) AS slope_mean
 FROM wn LEFT JOIN st ON st.cell_id = wn.cell_id LEFT JOIN tm ON tm.cell_id = wn.cell_id AND tm.r = 1 LEFT JOIN ke ON ke.source = wn.cell_id LEFT JOIN kl ON kl.source = wn.cell_id AND o = 1""",
+    "tensor_static_files": PANEL + TOPO + f" SELECT CAST(row_number() OVER (ORDER BY k.cell_id) - 1 AS INTEGER) AS node_idx, k.cell_id, round(coalesce(elevation_mean, 0), 2) AS elevation_mean, round(coalesce(slope_mean, 0), 2) AS slope_mean FROM (SELECT DISTINCT cell_id FROM pa) k LEFT JOIN st ON st.cell_id = k.cell_id",
     "boosting_sums": EDGES + """,
 wt AS (SELECT greatest(1.0::DOUBLE, count(*) FILTER (label = 0) / greatest(1, count(*) FILTER (label = 1))) AS w FROM la),
 gh AS (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,17 +94,46 @@ def utm_zone(lon: float, lat: float) -> tuple[int, bool]:
     return min(60, int((lon + 180) // 6) + 1), lat >= 0
 
 
-def _series() -> tuple[float, list[float], list[float]]:
+#: Numerators and denominators of the Krueger series' terms by power of the third flattening, from the first that isn't 0.
+FORWARD = (
+    ("1/2", "-2/3", "5/16", "41/180", "-127/288", "7891/37800"),
+    ("13/48", "-3/5", "557/1440", "281/630", "-1983433/1935360"),
+    ("61/240", "-103/140", "15061/26880", "167603/181440"),
+    ("49561/161280", "-179/168", "6601661/7257600"),
+    ("34729/80640", "-3418889/1995840"),
+    ("212378941/319334400",),
+)
+BACKWARD = (
+    ("1/2", "-2/3", "37/96", "-1/360", "-81/512", "96199/604800"),
+    ("1/48", "1/15", "-437/1440", "46/105", "-1118711/3870720"),
+    ("17/480", "-37/840", "-209/4480", "5569/90720"),
+    ("4397/161280", "-11/504", "-830251/7257600"),
+    ("4583/161280", "-108847/3991680"),
+    ("20648693/638668800",),
+)
+GEODETIC = (
+    ("2", "-2/3", "-2", "116/45", "26/45", "-2854/675"),
+    ("7/3", "-8/5", "-227/45", "2704/315", "2323/945"),
+    ("56/15", "-136/35", "-1262/105", "73814/2835"),
+    ("4279/630", "-332/35", "-399572/14175"),
+    ("4174/315", "-144838/6237"),
+    ("601676/22275",),
+)
+
+
+def _sums(terms: tuple) -> list[float]:
     n = WGS84_F / (2 - WGS84_F)
-    radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
-    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
-    return radius, alpha, beta
+    return [sum(float(Fraction(c)) * n ** (j + i) for i, c in enumerate(row)) for j, row in enumerate(terms, 1)]
+
+
+def _radius() -> float:
+    n = WGS84_F / (2 - WGS84_F)
+    return WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
 
 
 def project_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
-    """Metres east and north by the Krueger series (fourth order in the third flattening)."""
-    radius, alpha, _ = _series()
+    """Metres east and north by the Krueger series (sixth order in the third flattening)."""
+    radius, alpha = _radius(), _sums(FORWARD)
     e = math.sqrt(WGS84_F * (2 - WGS84_F))
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     s = F.sin(phi)
@@ -118,8 +148,7 @@ def project_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tupl
 
 def unproject_utm(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
     """Longitude and latitude of metres east and north."""
-    radius, _, beta = _series()
-    e2 = WGS84_F * (2 - WGS84_F)
+    radius, beta = _radius(), _sums(BACKWARD)
     xi0 = (y - (0.0 if north else UTM_NORTH_SOUTH)) / (UTM_SCALE * radius)
     eta0 = (x - UTM_EAST) / (UTM_SCALE * radius)
     xi, eta = xi0, eta0
@@ -128,8 +157,7 @@ def unproject_utm(x: Column, y: Column, zone: int, north: bool = True) -> tuple[
         eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
     chi = F.asin(F.sin(xi) / F.cosh(eta))
     # conformal to geodetic latitude
-    c = [e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520, 7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280]
     phi = chi
-    for j, k in enumerate(c, 1):
+    for j, k in enumerate(_sums(GEODETIC), 1):
         phi = phi + k * F.sin(2 * j * chi)
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (zone * 6 - 183), F.degrees(phi)

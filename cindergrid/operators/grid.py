@@ -67,3 +67,14 @@ def stage_summary(name: str, df: DataFrame, time: str | None = None) -> DataFram
     """One row: rows, distinct cells, first and last bin."""
     span = [F.min(time).alias("first_bin"), F.max(time).alias("last_bin")] if time else [F.lit(None).cast("timestamp").alias("first_bin"), F.lit(None).cast("timestamp").alias("last_bin")]
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct("cell_id").alias("cells"), *span).select(F.lit(name).alias("stage"), "*")
+
+
+def stage_sketches(df: DataFrame, time: str) -> DataFrame:
+    """(day, n_rows, first_bin, last_bin, cells): a row for each day, cells a mergeable sketch of the distinct ones; kept beside a stage."""
+    return df.groupBy(F.to_date(time).alias("day")).agg(F.count("*").alias("n_rows"), F.min(time).alias("first_bin"), F.max(time).alias("last_bin"), F.hll_sketch_agg("cell_id", 14).alias("cells"))
+
+
+def sketched_summary(name: str, sketches: DataFrame) -> DataFrame:
+    """stage_summary from the days' sketches, without the stage; cells is off by about 1 in 100."""
+    out = sketches.agg(F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("cells")).alias("cells"), F.min("first_bin").alias("first_bin"), F.max("last_bin").alias("last_bin"))
+    return out.select(F.lit(name).alias("stage"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("cells", F.lit(0)).alias("cells"), "first_bin", "last_bin")

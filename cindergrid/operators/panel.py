@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from cindergrid.functions.expressions import haversine_m
 from cindergrid.operators.blocks import BLOCK, block_of, carried
 from cindergrid.operators.nearest import near_pairs
 from cindergrid.operators.places import numbered
-from cindergrid.sources.tables import NUMERIC
+from cindergrid.sources.tables import NUMERIC, read_stage, staged
 
 KEYS = ["cell_id", "datetime_bin"]
 WEATHER_MARKS = ("t2m", "wind_speed", "u10", "v10", "wind_dir_deg")
@@ -150,6 +150,17 @@ def refresh_panel_fire(panel: DataFrame, fire: DataFrame) -> DataFrame:
     return fill_missing(kept.join(fire.select(*KEYS, "fire_count", "fire_any", "frp_sum"), KEYS, "left"))
 
 
+def refresh_days(spark: SparkSession, path: str, fire: DataFrame, days: list[str]) -> None:
+    """refresh_panel_fire for some days (yyyy-MM-dd) of a written panel: only their partitions are read, worked out and overwritten.
+
+    Its fills look at nothing but their own row, so no hours around the days are needed.
+    """
+    wanted = [F.to_date(F.lit(d)) for d in days]
+    rows = read_stage(spark, path).where(F.col("day").isin(wanted)).drop("day")
+    fresh = staged(refresh_panel_fire(rows, fire.where(F.to_date("datetime_bin").isin(wanted))))
+    fresh.withColumn("day", F.to_date("datetime_bin")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def dedup_panel(panel: DataFrame, hour: str = "epoch_hr") -> DataFrame:
     """One row per (hour, cell): sums of frp_sum and fire_count, any fire, means of the rest."""
     aggs = [F.sum(c).alias(c) if c in ("frp_sum", "fire_count", "_obs_count_sum") else F.max(c).alias(c) if t == "boolean" or c.endswith("_max") else F.avg(c).alias(c) for c, t in panel.dtypes if c not in (hour, "cell_id") and (t in NUMERIC or t == "boolean")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
@@ -128,13 +129,57 @@ def read_json(spark: SparkSession, path: str):
     return json.loads("".join(r.value for r in spark.read.text(path).collect()))
 
 
-def write_tensor(tensor: DataFrame, meta: dict, path: str, buckets: int = 64) -> None:
-    """Long tensor partitioned by a bucket of the node, and its meta."""
-    write_stage(tensor.withColumn("bucket", F.pmod(F.xxhash64("cell_id"), F.lit(buckets))), f"{path}/tensor", ["bucket"])
-    write_json(tensor.sparkSession, meta, f"{path}/meta")
-
-
-def write_adjacency(edges: DataFrame, nodes: DataFrame, meta: dict, path: str) -> None:
-    write_stage(edges.withColumn("weight", F.col("weight").cast("float")), f"{path}/edges")
-    write_stage(nodes, f"{path}/nodes")
-    write_json(edges.sparkSession, meta, f"{path}/meta")
+def tensor_table(spark: SparkSession, path: str, buckets: int) -> str:
+    """The name of the session's table over a written tensor's blocks."""
+    name = f"tensor_{hashlib.md5(path.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        fields = spark.read.parquet(f"{path}/blocks").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (cell_id) SORTED BY (cell_id, block) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
+    return name
+
+
+def write_tensor(tensor: DataFrame, features: list[str], meta: dict, path: str, static: DataFrame | None = None, nodes: DataFrame | None = None, buckets: int = 64, block: int = 720) -> None:
+    """A tensor as blocks of a node's positions: x, an array of feature arrays, and labels; bucketed and sorted by node.
+
+    The static block (cell_id and numbers) and the nodes' index go beside it, and meta with features, buckets, block and static columns.
+    """
+    spark = tensor.sparkSession
+    rows = tensor.groupBy("cell_id", F.floor(F.col("t_idx") / block).cast("int").alias("block"))
+    packed = rows.agg(F.sort_array(F.collect_list(F.struct("t_idx", F.array(*(F.col(c).cast("float") for c in features)).alias("x"), "y_current", "y_future"))).alias("r"))
+    each = lambda c: F.transform("r", lambda r: r[c]).alias(c)
+    packed = packed.select("cell_id", "block", F.col("r")[0]["t_idx"].alias("first"), *map(each, ("x", "y_current", "y_future")))
+    name = f"writing_{uuid.uuid4().hex}"
+    packed.write.mode("overwrite").option("path", f"{path}/blocks").bucketBy(buckets, "cell_id").sortBy("cell_id", "block").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    own = []
+    if static is not None:
+        own = [c for c, t in static.dtypes if c != "cell_id" and t in NUMERIC]
+        write_stage(static.select("cell_id", *(F.coalesce(F.col(c).cast("float"), F.lit(0.0)).cast("float").alias(c) for c in own)), f"{path}/static")
+    if nodes is not None:
+        write_stage(nodes, f"{path}/nodes")
+    write_json(spark, meta | {"features": features, "buckets": buckets, "block": block, "static": own}, f"{path}/meta")
+
+
+def read_tensor(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The blocks, as a bucketed table, so that what goes by node needs no exchange; and the meta."""
+    meta = read_json(spark, f"{path}/meta")
+    return spark.table(tensor_table(spark, path, meta["buckets"])), meta
+
+
+def unpack_tensor(blocks: DataFrame, features: list[str]) -> DataFrame:
+    """A row for each node and position."""
+    zipped = F.posexplode(F.arrays_zip("x", "y_current", "y_future")).alias("at", "r")
+    rows = blocks.select("cell_id", "first", zipped)
+    return rows.select("cell_id", (F.col("first") + F.col("at")).alias("t_idx"), *(F.col("r.x")[i].alias(c) for i, c in enumerate(features)), "r.y_current", "r.y_future")
+
+
+def write_adjacency(edges: DataFrame, nodes: DataFrame, meta: dict, path: str, scale: float | None = None, wind_strength: float = 0.0) -> None:
+    """Edges, the nodes' index and meta; the numbers of nodes and edges are counted as they are written."""
+    counts = []
+    for df, name in ((edges.withColumn("weight", F.col("weight").cast("float")), "edges"), (nodes, "nodes")):
+        seen = Observation()
+        write_stage(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{name}")
+        counts.append(seen.get["n"])
+    facts = {"node_count": counts[1], "sparse_nonzeros": counts[0], "scale_distance": scale, "use_wind": bool(wind_strength), "wind_strength": wind_strength}
+    write_json(edges.sparkSession, meta | facts, f"{path}/meta")

@@ -45,14 +45,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked by a similarity of 0.8 on five-word shingles the smallest doc_id stays, once.
 
     Documents without an id belong to no group and stay. Where an id is repeated, each of its texts counts as a document:
-    a text that is linked with no other stays, and of equal ids in a group the text with the smallest hash.
+    a text that is linked with no other stays, and of equal ids in a group the text with the smallest hash. Of rows
+    equal in id and text the one with the smallest lang stays, then the smallest source (null first).
     """
     groups = ngram_join.jaccard_components(docs, n=5, percent=80, keyed=True).where("doc_id is not null")
     alone = F.col("label").isNull()
     first = groups.groupBy("label", F.when(alone, F.col("doc_id")), F.when(alone, F.col("text_key"))).agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
     named = docs.where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
-    named = named.join(first, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
-    return named.select(*DOCUMENT).union(docs.where("doc_id is null").select(*DOCUMENT))
+    kept = named.join(first, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return kept.select("doc_id", "row.*").select(*DOCUMENT).union(docs.where("doc_id is null").select(*DOCUMENT))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
