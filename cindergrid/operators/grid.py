@@ -48,13 +48,18 @@ def assign_cells(points: DataFrame, x0: float, y0: float, size: float, nx: int,
     """points with cell_id: the cell strictly around the point, by the bounds that build_grid computes; null outside, on an edge or
     without coordinates. The quotient gives a candidate, and as it may be off by a rounding error, its neighbours are tried too. No join."""
 
-    def along(c, low, n):
-        near = F.floor((F.col(c) - low) / size)
+    axes = {"__i": (x, x0, nx), "__j": (y, y0, ny)}
+    near = points.withColumns({name: F.floor((F.col(c) - low) / size).cast("double") for name, (c, low, _) in axes.items()})
+
+    def exact(name):
+        c, low, n = axes[name]
         inside = lambda i: (F.col(c) > low + i * size) & (F.col(c) < low + i * size + size) & i.between(0, n - 1)
-        return F.coalesce(*(F.when(inside(i), i) for i in (near - 1, near, near + 1)))
+        return F.coalesce(*(F.when(inside(F.col(name) + d), F.col(name) + d) for d in (-1.0, 0.0, 1.0)))
 
-    i, j = along(x, x0, nx), along(y, y0, ny)
-    return points.withColumn("cell_id", F.when(i.isNotNull() & j.isNotNull(), F.format_string("cell_%d_%d", i, j)))
+    # in steps and in doubles, which keeps the generated code small
+    found = near.withColumns({name: exact(name) for name in axes})
+    cell = F.when(F.col("__i").isNotNull() & F.col("__j").isNotNull(), F.format_string("cell_%d_%d", F.col("__i").cast("long"), F.col("__j").cast("long")))
+    return found.withColumn("cell_id", cell).drop("__i", "__j")
 
 
 def grid_coverage(grid: DataFrame, panel: DataFrame) -> DataFrame:
