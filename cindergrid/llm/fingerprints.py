@@ -12,6 +12,7 @@ unlike any other (0.0).
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -83,12 +84,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).otherwise(freed)
 
 
-def in_bucket(rows: DataFrame, cuts: list[int]) -> DataFrame:
-    """rows with __cuts and __b, the place of the last cut that __k reaches, found by binary search."""
+def in_bucket(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """rows with __first, whether __at is the last cut that it reaches, and __b, that cut's place, found by binary search."""
     steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-    rows = rows.withColumn("__cuts", F.array(*(F.lit(c).cast("long") for c in cuts)))
-    upto = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(F.col("__cuts"), at + step - 1) <= F.col("__k")), at + step).otherwise(at))
-    return rows.withColumn("__b", F.greatest(upto - 1, F.lit(0)))
+    table = F.from_json(F.lit(json.dumps([{"k": k, "t": t} for k, t in cuts])), "array<struct<k:bigint,t:bigint>>")
+    upto = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) <= F.col("__at")), at + step).otherwise(at))
+    rows = rows.withColumn("__b", F.greatest(upto - 1, F.lit(0)))
+    return rows.withColumn("__first", F.get(table, F.col("__b")) == F.col("__at"))
 
 
 def with_next(df: DataFrame, order: str, carried: list[str], rows_per_bucket: int = 250, buckets: int = 20_000) -> DataFrame:
@@ -96,28 +98,32 @@ def with_next(df: DataFrame, order: str, carried: list[str], rows_per_bucket: in
 
     Rows are cut into buckets at quantiles of order, of about rows_per_bucket rows (more only beyond `buckets` of them); the
     first row of each bucket also goes to the end of the bucket before, so that each bucket finds its pairs alone. Beyond
-    `buckets` a bucket's rows are sorted on disk. Nulls come first, by the hash of the first carried column, so that many of them
-    make many buckets; equal keys follow each other by the carried columns.
+    `buckets` a bucket's rows are sorted on disk. A number that more rows share than four buckets and a thousandth of all hold
+    is cut further, at equal steps of the hash of the first carried column, by which its rows then follow each other; nulls
+    come first and count as one number. Other equal keys follow each other by the carried columns. Only rows equal in both
+    order and the first carried column stay in one bucket, however many they are.
     """
-    number, low = F.col(order).cast("long"), F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(carried[0]), 4)
-    key, cuts = F.coalesce(number, low), set()
-    n, known = df.agg(F.count("*"), F.count(order)).first()
-    for rows, k, count in ((df.where(F.col(order).isNotNull()), number, known), (df.where(F.col(order).isNull()), low, n - known)):
-        if count:
-            parts = min(max(1, count // rows_per_bucket), max(1, buckets * count // n))
-            rows = rows.select(k.alias("__k"))
-            found = rows.agg(F.percentile_approx("__k", [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("q"), F.min("__k").alias("low")).first()
-            # quantiles of long numbers are rounded: each bucket is cut at the least key that it really has
-            cuts |= {r.low for r in in_bucket(rows, sorted({found.low, *found.q})).groupBy("__b").agg(F.min("__k").alias("low")).collect()}
-    cuts = sorted(cuts) or [0]
-    rows = in_bucket(df.withColumn("__k", key), cuts)
-    rows = rows.withColumn("__first", F.get("__cuts", F.col("__b")) == F.col("__k")).drop("__cuts")
+    key = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)))
+    keys = df.select(key.alias("k"))
+    n = keys.count()
+    parts = min(max(1, n // rows_per_bucket), buckets)
+    often = {r.k: r["count"] for r in keys.groupBy("k").count().where(F.col("count") > max(4 * rows_per_bucket, n // 1000)).collect()}  # fewer than 1000
+    found = keys.agg(F.percentile_approx("k", [i / parts for i in range(parts)], max(10_000, 4 * parts)).alias("q"), F.min("k").alias("low")).first()
+    cuts = {(k, -(2**63)) for k in (found.q or []) + [found.low or 0]}
+    for k, count in often.items():
+        own = max(1, parts * count // n)
+        cuts |= {(k, -(2**63) + i * 2**64 // own) for i in range(own)} | {(k + 1, -(2**63))} - {(2**63, -(2**63))}
+    tie = F.when(key.isin(list(often)), F.xxhash64(carried[0])).otherwise(F.lit(-(2**63))) if often else F.lit(-(2**63))
+    at = F.struct(key.alias("k"), tie.cast("long").alias("t"))
+    # quantiles of long numbers are rounded and steps may be empty: each bucket is cut at the least key that it really has
+    cuts = sorted(tuple(r.low) for r in in_bucket(df.select(at.alias("__at")), sorted(cuts)).groupBy("__b").agg(F.min("__at").alias("low")).collect()) or [(0, 0)]
+    rows = in_bucket(df.withColumn("__at", at), cuts)
     own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("wrap"), F.lit(False).alias("copy"))
     before = F.struct(F.when(F.col("__b") > 0, F.col("__b") - 1).otherwise(len(cuts) - 1).alias("b"), (F.col("__b") == 0).cast("int").alias("wrap"), F.lit(True).alias("copy"))
     rows = rows.withColumn("__to", F.explode(F.when(F.col("__first"), F.array(own, before)).otherwise(F.array(own))))
-    w = W.partitionBy("__to.b").orderBy("__to.wrap", "__k", *carried)
+    w = W.partitionBy("__to.b").orderBy("__to.wrap", "__at", *carried)
     rows = rows.withColumn("__next", F.lead(F.struct(*carried)).over(w))
-    return rows.where("not __to.copy").drop("__k", "__b", "__first", "__to")
+    return rows.where("not __to.copy").drop("__at", "__b", "__first", "__to")
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -108,8 +108,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
         counts[r.slice * each : (r.slice + 1) * each] = np.frombuffer(r.counts, np.int64)
     hot_at = max(1024, int(8 * counts.mean()))
     rank = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    groups = members.where("size > 0 and doc_id is not null").groupBy("cid", "size").agg(F.min("doc_id").alias("rep"))
-    groups = written(groups)
+    classes_of = written(members.where("size > 0").groupBy("cid", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    total_sets = classes_of.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    groups = classes_of.where("rep is not null")
+    # classes with more than a thousandth of all sets, so fewer than a thousand: each task shows one set of each
+    many_copies = np.sort(np.array([r.cid for r in classes_of.where(F.col("copies") * 1000 > total_sets).where("copies > 1").select("cid").collect()], np.int64))
 
     # boundary by cost: subsets are size + 1 rows for each set; lists are the prefix rows and what shares them
     by_size = {r["size"]: r.n for r in groups.where(F.col("size") <= limit).groupBy("size").agg(F.count("*").alias("n")).collect()}
@@ -117,13 +120,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     cost = lambda x: sum(by_size.get(s, 0) * (s + 1) for s in range(1, x + 1)) + sum(by_size.get(s, 0) * (s - -(-percent * s // 100) + 1) * share for s in range(x, limit + 1))
     boundary = min(range(1, limit + 1), key=lambda x: (cost(x), x))
 
+    def repeats(cid: np.ndarray, shown: set[int]) -> np.ndarray:
+        """Which sets are of a class with many copies that the task has shown."""
+        again = np.zeros(len(cid), bool)
+        for i in np.flatnonzero(np.isin(cid, many_copies)).tolist():
+            again[i] = int(cid[i]) in shown
+            shown.add(int(cid[i]))
+        return again
+
     def signatures(batches):
         """Rows (kind, gram, size, cid): 0 an inverted list's entry, 1 a hot bucket's entry, 2 a subset's hash, 3 a set's own hash."""
         table = rank.value
+        shown: set[int] = set()
         for batch in batches:
             for _, _, gram, at, total in set_slices(batch.column(1), n):
                 size = np.diff(at)
                 cid = set_id(total, size)
+                if (again := repeats(cid, shown)).any():
+                    gram = gram[np.repeat(~again, size)]
+                    size, cid, total = size[~again], cid[~again], total[~again]
+                    at = np.r_[0, np.cumsum(size)]
                 owner = np.repeat(np.arange(len(size)), size)
                 out = []
                 if len(own := np.flatnonzero((size > 0) & (size < boundary))):
@@ -161,11 +177,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
 
     links = small.union(block_links(texts, groups, label, n, percent))
     reach = connected_components(links)
-    tops = groups.join(reach.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "size", "rep", F.coalesce("label", "cid").alias("label"))
+    tops = groups.join(reach.withColumnsRenamed({"node": "cid"}), "cid", "left").select("cid", "size", "rep", "copies", F.coalesce("label", "cid").alias("label"))
     tops = written(tops)
     least = tops.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-    tops = with_facts(tops, least, "label", tops.count()).select("cid", "size", "component_id", "label")
-    found = members.join(tops, ["cid", "size"], "left")
+    at, nothing = F.struct("cid", "size").alias("at"), F.lit(None).cast("long")
+    tops = with_facts(tops, least, "label", tops.count()).select(at, "component_id", "label", F.col("copies").alias("n"))
+    tops = written(tops.unionByName(classes_of.where("rep is null").select(at, nothing.alias("component_id"), nothing.alias("label"), F.col("copies").alias("n"))))
+    sets = members.where("size > 0").select("doc_id", "size", "text_key", at)
+    found = with_facts(sets, tops, "at", total_sets).drop("at")
+    # texts without a set are alike and meet nowhere
+    empty = members.where("coalesce(size, 0) = 0").select("doc_id", "size", "text_key", nothing.alias("component_id"), nothing.alias("label"))
+    found = found.unionByName(empty)
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *(["text_key", "label"] if keyed else []))
 
 
