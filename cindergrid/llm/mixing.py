@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.llm.common import WORD, written
 
-BUCKET = 1000
+BUCKET = 250
 MOST_STEPS = 4096
 
 
