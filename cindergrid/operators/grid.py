@@ -46,20 +46,20 @@ def build_grid(spark, box: tuple, size: float) -> DataFrame:
 
 def assign_cells(points: DataFrame, x0: float, y0: float, size: float, nx: int, ny: int, x: str = "x", y: str = "y") -> DataFrame:
     """points with cell_id: the cell strictly around the point, by the bounds that build_grid computes; null outside, on an edge or
-    without coordinates. The quotient gives a candidate, and as it may be off by a rounding error, its neighbours are tried too. No join."""
+    without coordinates. The quotient gives a candidate, and as it may be off by a rounding error, its neighbours are tried too. No join.
 
-    axes = {"__i": (x, x0, nx), "__j": (y, y0, ny)}
-    near = points.withColumns({name: F.floor((F.col(c) - low) / size).cast("double") for name, (c, low, _) in axes.items()})
+    Coordinate and candidate are bound as variables of array functions: written out they would stand dozens of times in each plan
+    that filters or groups by cell_id.
+    """
 
-    def exact(name):
-        c, low, n = axes[name]
-        inside = lambda i: (F.col(c) > low + i * size) & (F.col(c) < low + i * size + size) & i.between(0, n - 1)
-        return F.coalesce(*(F.when(inside(F.col(name) + d), F.col(name) + d) for d in (-1.0, 0.0, 1.0)))
+    def exact(c, low, n):
+        def tried(v):
+            i = F.floor((v - low) / size).cast("double")
+            return F.transform(F.array(i - 1, i, i + 1), lambda k: F.when((v > low + k * size) & (v < low + k * size + size) & k.between(0, n - 1), k.cast("long")))
 
-    # in steps and in doubles, which keeps the generated code small
-    found = near.withColumns({name: exact(name) for name in axes})
-    cell = F.when(F.col("__i").isNotNull() & F.col("__j").isNotNull(), F.format_string("cell_%d_%d", F.col("__i").cast("long"), F.col("__j").cast("long")))
-    return found.withColumn("cell_id", cell).drop("__i", "__j")
+        return F.get(F.filter(F.get(F.transform(F.array(c), tried), F.lit(0)), F.isnotnull), F.lit(0)).cast("string")
+
+    return points.withColumn("cell_id", F.concat(F.lit("cell_"), exact(x, x0, nx), F.lit("_"), exact(y, y0, ny)))
 
 
 def grid_coverage(grid: DataFrame, panel: DataFrame) -> DataFrame:
