@@ -61,7 +61,7 @@ def bounds(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     """Start and end of each word in raw, and for each text (offsets into raw) its first word: texts + 1 numbers."""
     n = len(raw)
     word = np.zeros(n + 2, bool)
-    word[1:-1] = ~space[raw]
+    word[1:-1] = ~space.take(raw)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(word[1:] & (cut | ~word[:-1]))
@@ -72,7 +72,7 @@ def bounds(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     power, inverse = _power(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * power[: len(raw)], out=sums[1:])
+    np.cumsum(values.take(raw) * power[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

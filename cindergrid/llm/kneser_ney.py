@@ -155,9 +155,35 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def sorter(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by columns of whole numbers from 0, the first one first; equal rows in any order.
+
+    Columns are joined to as few 64-bit keys as hold them; of one key the sort is many times faster than of several.
+    """
+    keys, room = [np.zeros(len(columns[0]), np.uint64)], 64
+    for c in reversed(columns):
+        bits = int(c.max()).bit_length() if len(c) else 0
+        if bits > room:
+            keys, room = [*keys, np.zeros(len(c), np.uint64)], 64
+        if bits:
+            keys[-1] |= c.astype(np.uint64) << np.uint64(64 - room)
+            room -= bits
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys)
+
+
+def settled(order: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """An order whose runs of equal rows have the given lengths, each run put in ascending order."""
+    bits = len(order).bit_length()
+    if bits > 31:
+        return order[np.lexsort((order, np.repeat(np.arange(len(times)), times)))]
+    key = np.repeat(np.arange(len(times)), times) << bits | order
+    key.sort()
+    return key & ((1 << bits) - 1)
+
+
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order with the sums of n."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     at = runs(key[order])
     return key[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
@@ -209,34 +235,37 @@ def found_in(arrays: list[np.ndarray], key: np.ndarray) -> np.ndarray:
 
 def count_table(key: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
     """Two tables: of what was counted once, and of the rest with its counts."""
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    once = count == 1
-    return [*table(key[once]), *table(key[~once], count[~once])]
+    more = np.flatnonzero(count != 1)
+    more = more[np.argsort(key[more])]
+    return [*table(np.sort(key[count == 1])), *table(key[more], count[more])]
 
 
 def counts_in(arrays: list[np.ndarray], key: np.ndarray) -> np.ndarray:
-    out = (found_in(arrays[:3], key) >= 0).astype(np.float64)
+    order = np.argsort(key)  # ascending keys are found much faster
+    key = key[order]
+    found = (found_in(arrays[:3], key) >= 0).astype(np.float64)
     at = found_in(arrays[3:7], key)
-    out[at >= 0] = arrays[6][at[at >= 0]]
+    found[at >= 0] = arrays[6][at[at >= 0]]
+    out = np.empty(len(key))
+    out[order] = found
     return out
 
 
 def sums_table(key: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
     """Of contexts: two tables, those seen once, and the rest with (total, seen once, twice, more often)."""
-    order = np.argsort(key)
-    key, sums = key[order], sums[:, order]
-    once = sums[0] == 1
-    return [*table(key[once]), *table(key[~once], *sums[:, ~once])]
+    more = np.flatnonzero(sums[0] != 1)
+    more = more[np.argsort(key[more])]
+    return [*table(np.sort(key[sums[0] == 1])), *table(key[more], *(x[more] for x in sums))]
 
 
 def sums_in(arrays: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+    key, back = np.unique(key, return_inverse=True)
     out = np.zeros((4, len(key)))
     out[:2, found_in(arrays[:3], key) >= 0] = 1
     at = found_in(arrays[3:6], key)
     for o, column in zip(out, arrays[6:10]):
         o[at >= 0] = column[at[at >= 0]]
-    return out
+    return out[:, back]
 
 
 def context_sums(count: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -428,6 +457,9 @@ class KneserNey:
         j = np.searchsorted(self.hot, b)
         return self.first_part[j] + ((folded(c) >> np.uint64(32)) * self.parts[j].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
+    def cold_shard(self, b: np.ndarray) -> np.ndarray:
+        return shard_of(bw.mix(folded(b)), self.shards)
+
     def shard(self, heat: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """heat: 0, or 1 where b is hot, or 2 where (a, b) is."""
         key = folded(b)
@@ -445,31 +477,37 @@ class KneserNey:
             for held in slices(batches, []):
                 h, n = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
                 number, _, _, back = model.word_numbers(maps, h)
-                a, b, c, _ = trigrams(number[back], n, BEGIN, model.end)
-                heat = (place_in(model.hot, b) >= 0).astype(np.int64)
+                # places among the slice's own numbers are small, so that a trigram is sorted as one key
+                ids, place = np.unique(np.r_[number, BEGIN, model.end], return_inverse=True)
+                a, b, c, _ = trigrams(place[back], n, place[-2], place[-1])
                 if order == 2:
                     a = np.zeros_like(a)
+                before = lambda a: np.zeros_like(a) if order == 2 else ids[a]
+                heat = (place_in(model.hot, ids) >= 0).astype(np.int64)[b]
+                warm = np.flatnonzero(heat)
+                if order == 2:
                     heat *= 2
-                elif len(model.hot_pairs):
+                elif len(model.hot_pairs) and len(warm):
                     x, y, _, _ = trigrams(h, n, BOS, EOS)
-                    heat[(heat > 0) & (place_in(model.hot_pairs, bw.fold([x, y])) >= 0)] = 2
-                shard = model.shard(heat, a, b, c)
-                sort = np.lexsort((c, a, b, shard))
-                shard, heat, a, b, c = (x[sort] for x in (shard, heat, a, b, c))
+                    heat[warm[place_in(model.hot_pairs, bw.fold([x[warm], y[warm]])) >= 0]] = 2
+                shard = model.cold_shard(ids)[b]
+                shard[warm] = model.shard(heat[warm], before(a[warm]), ids[b[warm]], ids[c[warm]])
+                sort = sorter(shard, b, a, c)
+                shard, a, b, c = (x[sort] for x in (shard, a, b, c))
                 at = runs(shard, a, b, c)
-                yield dealt(GRAMS, shard[at], heat[at], b[at], a[at], c[at], np.diff(np.r_[at, len(sort)]))
+                yield dealt(GRAMS, shard[at], heat[sort[at]], ids[b[at]], before(a[at]), ids[c[at]], np.diff(np.r_[at, len(sort)]))
 
         def next_words(b, c, n):
             """From counts of pairs sorted by b: the sums of each b; and rows of how many different words each c follows."""
             word, times = np.unique(c, return_counts=True)
             own = (word - FIRST_WORD) % word_shards
-            sort = np.lexsort((word, own))
+            sort = sorter(own, word)
             at = runs(b)
             return b[at], context_sums(n, at), dealt(NEXT, own[sort], word[sort], times[sort])
 
         def merge(batches):
             for shard, (heat, b, a, c, n) in by_file(batches, GRAMS, 5):
-                sort = np.lexsort((c, a, b))
+                sort = sorter(b, a, c)
                 heat, b, a, c, n = (x[sort] for x in (heat, b, a, c, n))
                 at = runs(b, a, c)
                 heat, b, a, c, n = heat[at], b[at], a[at], c[at], np.add.reduceat(n, at)
@@ -482,7 +520,7 @@ class KneserNey:
                 if order == 3 and not own.all():
                     yield sum_rows(HOT_PAIR, shard, np.c_[a[at], b[at], sums.T][~own].tolist())
                 # pairs: how many words were seen before them; what starts a text has none, so its own count stands
-                sort = np.lexsort((c, b))
+                sort = sorter(b, c)
                 heat, b, c, n = heat[sort], b[sort], c[sort], n[sort]
                 at = runs(b, c)
                 seen = np.add.reduceat(n if order == 2 else np.where(b == BEGIN, n, 1), at)
@@ -500,7 +538,7 @@ class KneserNey:
 
         def merge_hot(batches):
             for part, (b, c, n) in by_file(batches, GRAMS, 3):
-                sort = np.lexsort((c, b))
+                sort = sorter(b, c)
                 b, c, n = b[sort], c[sort], n[sort]
                 at = runs(b, c)
                 b, c, n = b[at], c[at], np.add.reduceat(n, at)
@@ -549,10 +587,11 @@ class KneserNey:
         d = self.discounts[0]
         return (before - d[np.minimum(before, 3).astype(int)]) / max(self.base, 1) + self.left / (self.types + 1)
 
-    def raised(self, order: int, p: np.ndarray, count: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Of the order, from those of the order below, counts and the contexts' sums."""
+    def raised(self, order: int, p: np.ndarray, count: np.ndarray, sums: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
+        """Of the order, from those of the order below, counts and the contexts' sums; a context is that of so many rows in turn."""
         d, total = self.discounts[order - 1], np.maximum(sums[0], 1)
         held = np.where(sums[0] > 0, (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / total, 1.0)
+        total, held = np.repeat(total, times), np.repeat(held, times)
         return (count - d[np.minimum(count, 3).astype(int)]) / total + held * p
 
     def score(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -585,37 +624,44 @@ class KneserNey:
                     h, n = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
                     row = np.concatenate([x[0].column("row").to_numpy() for x in held])
                     number, count, before, back = model.word_numbers(maps, np.r_[h, EOS], not want_hot)
-                    a, b, c, owner = trigrams(number[back[:-1]], n, BEGIN, number[back[-1]])
+                    number = np.r_[number, BEGIN]
+                    a, b, c, owner = trigrams(back[:-1], n, len(number) - 1, back[-1])
                     if not want_hot:
-                        place = trigrams(back[:-1], n, 0, back[-1])[2]
-                        lone = np.where(b == UNKNOWN, np.log10(model.single(before))[place], 0.0)
+                        lone = np.where((number == UNKNOWN)[b], np.log10(model.single(before))[c], 0.0)
                         each = lambda x: np.bincount(owner, x, len(n))
-                        sums = [n + 1, each((count > 0)[place]).astype(np.int64), each(np.log10((count + 0.5) / (N + 0.5 * (V + 1)))[place]), each(lone)]
+                        sums = [n + 1, each((count > 0)[c]).astype(np.int64), each(np.log10((count + 0.5) / (N + 0.5 * (V + 1)))[c]), each(lone)]
                         lo = 0
                         for own, _, _ in held:
                             hi = lo + own.num_rows
                             blank = [pa.array(np.full(hi - lo, WHOLE, np.int32)), pa.array(part_of(row[lo:hi] >> BLOCK_BITS), pa.int32()), pa.array(row[lo:hi] >> BLOCK_BITS), pa.nulls(hi - lo, pa.binary())]
                             yield pa.RecordBatch.from_arrays([*blank, *(own.column(x) for x in ["row", *named]), *(pa.array(s[lo:hi]) for s in sums)], names=whole.names)
                             lo = hi
-                    heat = (place_in(model.hot, b) >= 0).astype(np.int64)
-                    at = np.flatnonzero((b != UNKNOWN) & ((heat > 0) == want_hot))
-                    a, b, c, owner, heat = (x[at] for x in (a, b, c, owner, heat))
+                    at = np.flatnonzero(((number != UNKNOWN) & ((place_in(model.hot, number) >= 0) == want_hot))[b])
+                    # places among the slice's own numbers are small; sorted by shard first, so that these follow from the middle word's
+                    shard = model.cold_shard(number)
+                    own = sorter(shard, number)
+                    ids, shard = number[own], shard[own]
+                    new = runs(shard, ids)
+                    place = np.empty(len(own), np.int64)
+                    place[own] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(own)]))
+                    ids, shard = ids[new], shard[new]
+                    a, b, c, owner = place[a[at]], place[b[at]], place[c[at]], owner[at]
                     if order == 2:
                         a = np.zeros_like(a)
+                    sort = sorter(model.hot_part(ids[b], ids[c]), b, a, c) if want_hot else sorter(b, a, c)
+                    a, b, c = (x[sort] for x in (a, b, c))
+                    at = runs(b, a, c)
+                    times = np.diff(np.r_[at, len(b)])
+                    owner = owner[settled(sort, times)]
+                    file = shard[b]
+                    a, b, c = np.zeros_like(a) if order == 2 else ids[a], ids[b], ids[c]
                     if want_hot:
-                        heat[place_in(model.pair_key, folded(a, b)) >= 0] = 2
-                        file = model.hot_part(b, c)
-                    else:
-                        file = model.shard(heat, a, b, c)
-                    sort = np.lexsort((owner, c, a, b, file))
-                    file, a, b, c, owner, heat = (x[sort] for x in (file, a, b, c, owner, heat))
-                    at = runs(file, a, b, c)
-                    times = np.diff(np.r_[at, len(file)])
+                        file, heat = model.hot_part(b, c), np.where(place_in(model.pair_key, folded(a, b)) >= 0, 2, 1)
                     # what fills a good part of a shard by itself goes to any task
                     often = np.repeat(times > max(256, len(file) // (2 * shards)), times)
                     tasks = hot_parts if want_hot else parts
                     part = np.where(often, (file + int(row[0] % 1_000_003)) % tasks, file % tasks)
-                    sort = np.lexsort((file, part))
+                    sort = sorter(part, file, np.arange(len(part)))
                     made = requests(HOT if want_hot else COLD, part[sort], file[sort], [x[sort] for x in (b, a, c, row[owner])] + ([heat[sort]] if want_hot else []))
                     if want_hot:
                         yield pa.RecordBatch.from_arrays(made, names=request.names)
@@ -624,14 +670,14 @@ class KneserNey:
 
             return run
 
-        def answers(row, p):
+        def answers(row, logs):
             """The sum of logarithms for each text, by blocks of texts that are neighbours in the input."""
             key, back = np.unique(row, return_inverse=True)
             block = key >> BLOCK_BITS
-            return requests(ANSWER, part_of(block), block, [key, np.bincount(back, np.log10(p), len(key))])
+            return requests(ANSWER, part_of(block), block, [key, np.bincount(back, logs, len(key))])
 
         def answered(row, p):
-            made = answers(row, p)
+            made = answers(row, np.log10(p))
             return pa.RecordBatch.from_arrays(made, names=request.names)
 
         def look_up(batches):
@@ -640,13 +686,20 @@ class KneserNey:
                 if file is None:
                     yield got
                     continue
-                b, a, c, row = got
+                # each trigram is looked up once
+                sort = sorter(*got[:3])
+                b, a, c, row = (x[sort] for x in got)
+                at = runs(b, a, c)
+                times = np.diff(np.r_[at, len(b)])
+                b, a, c = b[at], a[at], c[at]
                 p = model.single(model.before(words, c))
                 if arrays := maps.get(f"{folder}/grams/{file}"):
-                    p = model.raised(2, p, counts_in(arrays[17:24], folded(b, c)), sums_in(arrays[24:34], folded(b)))
+                    at = runs(b)
+                    p = model.raised(2, p, counts_in(arrays[17:24], folded(b, c)), sums_in(arrays[24:34], folded(b[at])), np.diff(np.r_[at, len(b)]))
                     if order == 3:
-                        p = model.raised(3, p, counts_in(arrays[:7], folded(a, b, c)), sums_in(arrays[7:17], folded(a, b)))
-                made = answers(row, p)
+                        at = runs(b, a)
+                        p = model.raised(3, p, counts_in(arrays[:7], folded(a, b, c)), sums_in(arrays[7:17], folded(a[at], b[at])), np.diff(np.r_[at, len(b)]))
+                made = answers(row, np.repeat(np.log10(p), times))
                 yield pa.RecordBatch.from_arrays([*made, *(pa.nulls(len(made[0]), k) for k in kinds)], names=whole.names)
 
         def look_up_hot(batches):
@@ -659,12 +712,12 @@ class KneserNey:
                     yield answered(row, p)
                     continue
                 goal = model.shard(heat, a, b, c)
-                sort = np.lexsort((row, c, a, b, goal))
+                sort = sorter(goal, b, a, c, row)
                 goal, a, b, c, row, heat, p = (x[sort] for x in (goal, a, b, c, row, heat, p))
                 times = np.diff(np.r_[runs(goal, a, b, c), len(goal)])
                 often = np.repeat(times > LOOKUP_TOKENS // 8, times)
                 part = np.where(often, (goal + file) % parts, goal % parts)
-                sort = np.lexsort((goal, part))
+                sort = sorter(part, goal, np.arange(len(part)))
                 yield pa.RecordBatch.from_arrays(requests(RAISED, part[sort], goal[sort], [x[sort] for x in (b, a, c, row, heat, p)]), names=request.names)
 
         def look_up_raised(batches):

@@ -120,6 +120,32 @@ def test_hash_tables(n):
     assert (kneser_ney.sums_in(kneser_ney.sums_table(key, sums), asked) == np.c_[sums, np.zeros((4, 1000))]).all()
 
 
+def test_hashes_are_looked_up_in_ascending_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    key = rng.integers(0, 2**63, 5000, np.uint64) * np.uint64(2)
+    count, asked = rng.integers(1, 4, 5000), rng.permutation(np.r_[key, key, key + np.uint64(1 << 30)])
+    sums = np.stack([count, count == 1, count == 2, count > 2]).astype(np.int64)
+    counts, contexts = kneser_ney.count_table(key, count), kneser_ney.sums_table(key, sums)
+    real, seen = kneser_ney.found_in, []
+    monkeypatch.setattr(kneser_ney, "found_in", lambda arrays, key: seen.append(key) or real(arrays, key))
+    known = dict(zip(key.tolist(), count.tolist()))
+    want = np.array([known.get(k, 0) for k in asked.tolist()])
+    assert (kneser_ney.counts_in(counts, asked) == want).all()
+    assert (kneser_ney.sums_in(contexts, asked) == np.stack([want, want == 1, want == 2, want > 2])).all()
+    assert len(seen) == 4 and all((k[1:] >= k[:-1]).all() for k in seen)
+
+
+@pytest.mark.parametrize("bits", [(3, 17, 17, 17), (40, 30, 20, 25, 12), (64, 1), (0, 5, 0), (63, 63, 63)])
+def test_sorter_against_lexsort(bits):
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 2**b, 40, np.uint64)[rng.integers(0, 40, 3000)] if b else np.zeros(3000, np.uint64) for b in bits]
+    order, want = kneser_ney.sorter(*columns), np.lexsort(columns[::-1])
+    assert all((c[order] == c[want]).all() for c in columns)
+    at = kneser_ney.runs(*(c[want] for c in columns))
+    assert (kneser_ney.settled(order, np.diff(np.r_[at, 3000])) == want).all()
+    assert len(kneser_ney.sorter(*(c[:0] for c in columns))) == 0
+
+
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (1, 80)])
 def test_jaccard_components(spark, odd, n, percent):
     rng = random.Random(7)
