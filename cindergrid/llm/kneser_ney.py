@@ -637,24 +637,23 @@ class KneserNey:
                             yield pa.RecordBatch.from_arrays([*blank, *(own.column(x) for x in ["row", *named]), *(pa.array(s[lo:hi]) for s in sums)], names=whole.names)
                             lo = hi
                     at = np.flatnonzero(((number != UNKNOWN) & ((place_in(model.hot, number) >= 0) == want_hot))[b])
-                    # places among the slice's own numbers are small; sorted by shard first, so that these follow from the middle word's
-                    shard = model.cold_shard(number)
-                    own = sorter(shard, number)
-                    ids, shard = number[own], shard[own]
-                    new = runs(shard, ids)
-                    place = np.empty(len(own), np.int64)
-                    place[own] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(own)]))
-                    ids, shard = ids[new], shard[new]
-                    a, b, c, owner = place[a[at]], place[b[at]], place[c[at]], owner[at]
+                    # places among the slice's own numbers are small; middle words are placed by shard first, which need not be sorted by then
+                    ids, place = np.unique(number, return_inverse=True)
+                    shard = model.cold_shard(ids)
+                    own = sorter(shard, ids)
+                    rank = np.empty(len(own), np.int64)
+                    rank[own] = np.arange(len(own))
+                    middle, shard = ids[own], shard[own]
+                    a, b, c, owner = place[a[at]], rank[place[b[at]]], place[c[at]], owner[at]
                     if order == 2:
                         a = np.zeros_like(a)
-                    sort = sorter(model.hot_part(ids[b], ids[c]), b, a, c) if want_hot else sorter(b, a, c)
+                    sort = sorter(model.hot_part(middle[b], ids[c]), b, a, c) if want_hot else sorter(b, a, c)
                     a, b, c = (x[sort] for x in (a, b, c))
                     at = runs(b, a, c)
                     times = np.diff(np.r_[at, len(b)])
                     owner = owner[settled(sort, times)]
                     file = shard[b]
-                    a, b, c = np.zeros_like(a) if order == 2 else ids[a], ids[b], ids[c]
+                    a, b, c = np.zeros_like(a) if order == 2 else ids[a], middle[b], ids[c]
                     if want_hot:
                         file, heat = model.hot_part(b, c), np.where(place_in(model.pair_key, folded(a, b)) >= 0, 2, 1)
                     # what fills a good part of a shard by itself goes to any task
