@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/cg-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again, which cuts its lineage."""
+def written(df: DataFrame, **options) -> DataFrame:
+    """df as a table written to the shared folder, with the writer's options, and read again, which cuts its lineage."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored = path
     return out

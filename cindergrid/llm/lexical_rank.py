@@ -1,9 +1,9 @@
 """Ranked lexical search by K2-treaps: compressed quadtrees over a term-document grid whose cells hold the greatest impact inside.
 
-Documents are packed into shards as they are read, by the size of their text; no text is shuffled. In a shard documents are columns
-by ascending id and terms are rows, the frequent ones first. The grid's points, an impact for each term of a document, are sorted
-by their interleaved row and column digits; a cell with points in two or more of its quarters becomes a node, cells between are
-left out. An index is a table with a row for each shard, written to a folder and readable by any later search.
+Documents' terms are written as they are read, then packed into shards by the size of their text; neither is shuffled. In a shard
+documents are columns by ascending id and terms are rows, the frequent ones first. The grid's points, an impact for each term of a
+document, are sorted by their interleaved row and column digits; a cell with points in two or more of its quarters becomes a node,
+cells between are left out. An index is a table with a row for each shard, written to a folder and readable by any later search.
 
 A search sends blocks of items to all shards. Each term of an item follows its row through the tree, so a range of documents has
 for each term the cell it has come to, and the sum of these cells' maxima times the terms' weights bounds every score in the
@@ -18,23 +18,42 @@ rows of items count once; an item id with several texts is answered for each. Te
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cindergrid.llm import bytewords as bw
-from cindergrid.llm.common import shared_dir, tree_sum
-
-SHARD, ITEMS, WIDE, FAN = 4 << 20, 8 << 20, 256, 64
-#: Row groups of few shards, so that neither writer nor reader holds more.
-STORED = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
+from cindergrid.llm.common import discard, shared_dir, tree_sum, written
+
+SHARD, SLICE, ITEMS, WIDE, FAN = 4 << 20, 1 << 18, 8 << 20, 256, 64
+#: A shard to a row group, and its arrays neither looked up nor compared, so that neither writer nor reader holds more copies of them.
+STORED = {"compression": "zstd", "parquet.block.row.count.limit": 1, "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false", "parquet.page.size.row.check.min": 1}
+#: What JVM and Python hand each other at once, about 2 MB of text or one shard, and the rows that the JVM decodes at once.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+POSTINGS = "docs long, words long, bytes long, ids binary, nulls binary, sizes binary, counts binary, terms binary, tf binary"
+NAMES = [c.split()[0] for c in POSTINGS.split(", ")]
 INDEX = "docs long, ids binary, nulls long, terms binary, counts binary, row binary, z binary, kids binary, level binary, top binary"
 ROWS = np.uint64(0xAAAAAAAAAAAAAAAA)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside pass on small batches; what the session had set holds again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spaced(x: np.ndarray) -> np.ndarray:
     """The low 32 bits of each number with a zero before each."""
     x = x.astype(np.uint64)
@@ -43,21 +62,6 @@ def spaced(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """N, the documents with a term, and L, all their terms with repeats."""
-
-    def part(batch):
-        raw, offsets = bw.text_bytes(batch.column("text"))
-        out = np.zeros(2, np.int64)
-        for lo, hi in bw.slices(offsets):
-            count = np.diff(bw.bounds(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], bw.MARKS)[2])
-            out += [np.count_nonzero(count), count.sum()]
-        return out
-
-    n, length = tree_sum(docs.select(F.col(text).alias("text")), part, (2,), np.int64)
-    return int(n), int(length)
-
-
 def norm(n_terms: np.ndarray, n: int, length: int) -> np.ndarray:
     """100 - 90 + ((90 * terms * N) div L)."""
     if 90 * int(n_terms.max(initial=0)) * n < 1 << 62:
@@ -106,7 +110,7 @@ def quadtree(z: np.ndarray, value: np.ndarray, height: int) -> tuple[np.ndarray,
     return np.concatenate(kids), np.concatenate(level), np.concatenate(top)
 
 
-def shard_of(ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, length: int) -> dict[str, bytes | int]:
+def shard_of(ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, length: int) -> dict[str, np.ndarray | int]:
     """A shard of documents (ids, whether null, terms with repeats) and their postings (doc, term, tf)."""
     order = np.lexsort((ids, nulls))
     column = np.empty(len(ids), np.int64)
@@ -119,26 +123,26 @@ def shard_of(ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, doc: np.ndar
     by = np.argsort(z)
     z, value = z[by], impact(tf, norm(sizes, n, length)[doc])[by]
     kids, level, top = quadtree(z, value, height)
-    return {"docs": len(ids), "ids": ids[order].tobytes(), "nulls": int(nulls.sum()), "terms": terms.tobytes(), "counts": counts.astype(np.int64).tobytes(), "row": row.astype(np.int32).tobytes(), "z": z.tobytes(), "kids": kids.tobytes(), "level": level.tobytes(), "top": np.r_[value, top].astype(np.int32).tobytes()}
+    return {"docs": len(ids), "ids": ids[order], "nulls": int(nulls.sum()), "terms": terms, "counts": counts.astype(np.int64), "row": row.astype(np.int32), "z": z, "kids": kids, "level": level, "top": np.r_[value, top].astype(np.int32)}
 
 
-def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD) -> tuple[DataFrame, int]:
-    """Writes the shards of all docs to a folder; returns the table and N."""
-    n, length = corpus_size(docs, text)
+def row_of(made: dict[str, np.ndarray | int]) -> pa.RecordBatch:
+    """One row of numbers and, without a copy, the bytes of arrays."""
+    size = lambda v: pa.py_buffer(np.array([0, v.nbytes], np.int32))
+    cells = [pa.array([v], pa.int64()) if isinstance(v, int) else pa.Array.from_buffers(pa.binary(), 1, [None, size(v), pa.py_buffer(np.ascontiguousarray(v))]) for v in made.values()]
+    return pa.record_batch(cells, names=list(made))
 
-    def build(batches):
-        parts, docs_in, held = [], 0, 0
 
-        def out():
-            ids, nulls, sizes, doc, term, tf = (np.concatenate(x) for x in zip(*parts))
-            made = shard_of(ids, nulls, sizes, doc, term, tf, n, length)
-            return pa.record_batch([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in made.values()], names=list(made))
+def postings_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each slice of texts: how many have a term, all their terms with repeats, bytes; by text its id, whether that is null, its terms
+    with repeats and without; the terms of each text and how often it has them. Written, so that no task holds a row group of texts beside shards."""
 
+    def read(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             empty, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             raw, offsets = bw.text_bytes(batch.column("text"))
-            for lo, hi in bw.slices(offsets):
+            for lo, hi in bw.slices(offsets, SLICE):
                 own, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 starts, ends, first = bw.bounds(own, at, bw.MARKS)
                 size = np.diff(first)
@@ -150,16 +154,44 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 order = np.lexsort((word, doc))
                 word, doc = word[order], doc[order]
                 head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])
-                parts.append((ids[lo:hi][full], empty[lo:hi][full], size[full], docs_in + doc[head], word[head], np.diff(np.r_[head, len(word)])))
-                docs_in, held = docs_in + len(full), held + len(own)
+                tf = np.diff(np.r_[head, len(word)]).astype(np.int32)
+                made = len(full), len(word), len(own), ids[lo:hi][full], empty[lo:hi][full], size[full], np.bincount(doc[head]), word[head], tf
+                yield row_of(dict(zip(NAMES, made)))
+
+    with small_batches(docs.sparkSession):
+        return written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(read, POSTINGS), **STORED)
+
+
+def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD) -> tuple[DataFrame, int]:
+    """Writes the shards of all docs to a folder; returns the table and N, the documents with a term."""
+    spark, postings = docs.sparkSession, postings_of(docs, doc_id, text)
+    n, length = (int(v or 0) for v in postings.agg(F.sum("docs"), F.sum("words")).first())  # length: all their terms with repeats
+
+    def build(batches):
+        parts, docs_in, held = [], 0, 0
+
+        def out():
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
+            return row_of(shard_of(*columns, n, length))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+                counts = get("counts", np.int64)
+                doc = np.repeat(np.arange(docs_in, docs_in + len(counts)), counts)
+                parts.append((get("ids", np.int64), get("nulls", bool), get("sizes", np.int64), doc, get("terms", np.uint64), get("tf", np.int32).astype(np.int64)))
+                docs_in, held = docs_in + len(counts), held + batch.column("bytes")[i].as_py()
                 if held >= shard_bytes:
                     yield out()
-                    parts, docs_in, held = [], 0, 0
+                    docs_in = held = 0
         if parts:
             yield out()
 
-    docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX).write.options(**STORED).parquet(path)
-    return docs.sparkSession.read.schema(INDEX).parquet(path), n
+    with small_batches(spark):
+        postings.mapInArrow(build, INDEX).write.options(**STORED).parquet(path)
+    discard(postings)
+    return spark.read.schema(INDEX).parquet(path), n
 
 
 class Treap:
@@ -296,12 +328,13 @@ def search(index: DataFrame, n: int, items: DataFrame, k: int = 10, item_id: str
                 df += np.where(own[at] == known, counts[at], 0)
             return df
 
-        df = tree_sum(index.select("terms", "counts"), count, (len(known),), np.int64)
+        with small_batches(index.sparkSession):
+            df = tree_sum(index.select("terms", "counts"), count, (len(known),), np.int64)
         weight = np.floor(1000 * np.log((2 * n + 2) / (2 * df + 1))).astype(np.int64)
-        terms = [np.searchsorted(known, t) for t in terms]
+        terms, ids = [np.searchsorted(known, t) for t in terms], [r.item_id for r in rows]
 
-        def run(batches, rows=rows, known=known, terms=terms, weight=weight):
-            best: list[list[tuple]] = [[] for _ in rows]  # (-score, id or none last, id)
+        def run(batches, ids=ids, known=known, terms=terms, weight=weight):
+            best: list[list[tuple]] = [[] for _ in ids]  # (-score, id or none last, id)
             for batch in batches:
                 for i in range(batch.num_rows):
                     shard = Treap(batch, i)
@@ -312,7 +345,7 @@ def search(index: DataFrame, n: int, items: DataFrame, k: int = 10, item_id: str
                         if len(score):
                             found = [(-int(s), int(c >= shard.known), int(shard.ids[c]) if c < shard.known else None) for s, c in zip(score, at)]
                             best[a] = sorted([*own, *found], key=lambda r: (r[0], r[1], r[2] or 0))[:k]
-            flat = [(rows[a].item_id, a, r[2], -r[0]) for a, own in enumerate(best) for r in own]
+            flat = [(ids[a], a, r[2], -r[0]) for a, own in enumerate(best) for r in own]
             if flat:
                 yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "ask", "doc_id", "score"), r)) for r in flat], schema=arrow)
 
@@ -323,7 +356,8 @@ def search(index: DataFrame, n: int, items: DataFrame, k: int = 10, item_id: str
         order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
         for keys in (["ask", "salt"], ["ask"]):
             lists = lists.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
-        found = lists.select("item_id", "rank", "doc_id", "score")
+        with small_batches(index.sparkSession):
+            found = written(lists.select("item_id", "rank", "doc_id", "score"))
         out = found if out is None else out.union(found)
     return out
 

@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from cindergrid.llm import license_scan, lexical_rank, queries, whitening
+from cindergrid.llm import common, license_scan, lexical_rank, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -142,6 +144,26 @@ def test_ranking_against_brute_force(spark, tmp_path, monkeypatch, shard, block,
     assert sorted(map(tuple, got.collect()), key=repr) == ranked_by_hand(docs, items, 5)
 
 
+def test_index_is_written_and_read_in_small_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_rank, "shared_dir", None)  # the index has its own folder; of what is written beside it nothing stays
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/beside")
+    monkeypatch.setitem(lexical_rank.SMALL, "spark.sql.execution.arrow.maxBytesPerBatch", "4000")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "77")
+    docs = texts(5, 300)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    index, n = lexical_rank.build_index(table, f"file://{tmp_path}/index", shard_bytes=4000)
+    assert n == sum(bool(terms(t)) for _, t in docs) and index.agg(F.sum("docs")).first()[0] == n and not (tmp_path / "beside").exists()
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "index").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert len(groups) > 3 and all(g.num_rows == 1 for g in groups)  # a task's memory doesn't grow with its shards
+    assert not any(g.column(c).has_dictionary_page or g.column(c).is_stats_set for g in groups for c in range(g.num_columns))
+    held = lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    with lexical_rank.small_batches(spark):
+        assert {r.n for r in index.select("z").mapInArrow(held, "n long").collect()} == {1}
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "77" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+
+
 def test_ranking_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a"), (2, "c")], "item_id long, text string")
